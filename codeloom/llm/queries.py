@@ -6,8 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, packing, pfor
-from codeloom.llm._shared import documents
+from codeloom.llm import bpe, langid, media, neardup, packing, pfor, pii, quality, rules, secrets
+from codeloom.llm._shared import documents, labels
+
+
+def op1_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, labels(spark, sf_dir)))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.fit(docs))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +29,37 @@ def op4_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.media(documents(spark, sf_dir), with_media=False)
+    # the keyframes' byte ranges are long for long texts: their number, the first, and a hash of all
+    first = F.try_element_at("keyframes", F.lit(1))
+    feature = F.concat_ws("|", "codec", "duration", "timescale", F.size("keyframes"), F.concat_ws("-", first["start"], first["end"]), F.sha2(F.array_join(F.transform("keyframes", lambda k: F.concat_ws("-", k["start"], k["end"])), ","), 256))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op6_minhash_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pfor.store_and_read(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_bpe_segment_tree, op7_token_files)}
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.surrogates(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return rules.score(docs, rules.fit(docs, labels(spark, sf_dir)))
+
+
+_ALL = (op1_quality_ordinal, op2_language_id, op3_best_fit_packing, op4_bpe_segment_tree, op5_media_columns, op6_minhash_bottom_k, op7_token_files, op8_pii_surrogates, op9_secret_scan, op10_quality_rules)
+QUERIES = {f.__name__: f for f in _ALL}
+#: None: trained models, byte formats, tokenizers and components are beyond SQL; tests hold these against brute force.
 SQL: dict[str, str] = {}
