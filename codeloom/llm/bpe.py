@@ -178,6 +178,9 @@ class TreeEncoder(PieceEncoder):
             out[i] = array("I", merge_long(vocabulary, vocabulary.byte_ids[np.frombuffer(raw[i], np.uint8)].tolist())).tobytes()
         return out
 
+    def led(self, words: list[str]) -> list[bytes]:
+        return self.single([" " + x for x in words])
+
     def whole(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:

@@ -13,7 +13,11 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
-#: Distinct chunks and pre-tokens held per worker; beyond it a cache starts anew.
+import numpy as np
+
+from codeloom.llm._shared import Cache
+
+#: Distinct chunks, words and other pre-tokens held per worker; beyond it a cache starts anew.
 CACHE = 400_000
 #: Marks that end a chunk as a pre-token of their own.
 MARKS = ".,;:!?%&*$#|"
@@ -36,6 +40,8 @@ class PieceEncoder:
         self.cut = regex.compile(public_tokenizers.PATTERN if self.byte else WORD_PATTERN).findall
         self.chunks: dict[str, bytes | None] = {}
         self.tokens: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.marks = Cache(lambda x: self.single([x])[0], 10_000)
         self.load(path)
 
     def load(self, path: str) -> None:
@@ -49,6 +55,16 @@ class PieceEncoder:
         """Ids of texts that are one pre-token each."""
         return self.whole(tokens)
 
+    def led(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, after a space in the byte kind; encoded as one text and cut where the word changes."""
+        got = self.tokenizer.encode("".join([" " + x for x in words]), add_special_tokens=False)
+        ids, of = np.array(got.ids, "<u4"), np.array(got.word_ids)
+        cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
+        if len(cuts) + 1 != len(words):
+            return self.single([self.lead + x for x in words])
+        data, ends = ids.tobytes(), [0, *(4 * cuts).tolist(), 4 * len(ids)]
+        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -72,30 +88,29 @@ class PieceEncoder:
         return [self.whole([x])[0] if c is None else b"".join(map(get, c)) for x, c in zip(texts, cuts, strict=True)]
 
     def _learn(self, chunks: list[str]) -> None:
-        """None marks a chunk after which, or before which, a space would join other white space."""
-        plain: list[tuple[str, str, str]] = []
-        rest: list[str] = []
-        for x in chunks:
-            core = x.rstrip(MARKS)
-            if core.isalpha() and (self.byte or core.isascii()):
-                plain.append((x, core, x[len(core) :]))
-            elif self.byte and (not x or x[0].isspace() or x[-1].isspace()):
-                self.chunks[x] = None
+        """Most chunks are a word and perhaps marks: two pre-tokens without a pattern's help. None marks a chunk after which, or
+        before which, a space would join other white space."""
+        cores = [x.rstrip(MARKS) for x in chunks]
+        words, marks, held = self.words, self.marks, self.chunks
+        new = [c for c in set(cores).difference(words) if c.isalpha() and (self.byte or c.isascii())]
+        if len(words) + len(new) > CACHE:
+            words.clear()
+            new = [c for c in set(cores) if c.isalpha() and (self.byte or c.isascii())]
+        for at in range(0, len(new), 4096):
+            words.update(zip(new[at : at + 4096], self.led(new[at : at + 4096]), strict=True))
+        rest = []
+        for x, core in zip(chunks, cores, strict=True):
+            ids = words.get(core)
+            if ids is None:
+                if self.byte and (not x or x[0].isspace() or x[-1].isspace()):
+                    held[x] = None
+                else:
+                    rest.append(x)
+            elif len(core) == len(x):
+                held[x] = ids
             else:
-                rest.append(x)
-        tokens, lead = self.tokens, self.lead
-        wanted = {lead + c if self.byte else c.lower() for _, c, _ in plain} | {t for _, _, t in plain}
-        new = list(wanted.difference(tokens))
-        if len(tokens) + len(new) > CACHE:
-            tokens.clear()
-            new = list(wanted)
-        for at in range(0, len(new), 8192):
-            tokens.update(zip(new[at : at + 8192], self.single(new[at : at + 8192]), strict=True))
-        if self.byte:
-            self.chunks.update({x: tokens[lead + c] + tokens[t] for x, c, t in plain})
-        else:
-            self.chunks.update({x: tokens[c.lower()] + tokens[t] for x, c, t in plain})
-        self.chunks.update(zip(rest, self._pieces([lead + x for x in rest]), strict=True))
+                held[x] = ids + marks[x[len(core) :]]
+        held.update(zip(rest, self._pieces([self.lead + x for x in rest]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         gc.disable()  # many small objects, none of them in cycles
