@@ -124,6 +124,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end: int = END) -> lis
     """Writes the shards; (shard, file, documents, ids) of each, in ascending doc_id order: a row a file, the only thing that is
     collected."""
     from pyarrow import fs
+    from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -131,14 +132,18 @@ def write_shards(docs: DataFrame, path: str, folder: str, end: int = END) -> lis
     bounds = np.unique(np.array(cuts, np.int64))
     fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
 
+    # ids of a vocabulary of up to 65,536 travel to their shard as 16-bit numbers
+    kind = "<u2" if max(end, Tokenizer.from_file(path).get_vocab_size() - 1) < 1 << 16 else "<u4"
+
     def make():
         from codeloom.llm.tokens import encoder
 
-        e, tail = encoder(path, "byte"), np.array([end], "<u4").tobytes()
+        e = encoder(path, "byte")
 
         def f(doc_ids, texts):
             at = np.searchsorted(bounds, np.array([-(1 << 63) if d is None else d for d in doc_ids], np.int64), side="left")
-            return {"doc_id": doc_ids, "shard": at.tolist(), "ids": [x + tail for x in e.encode([t or "" for t in texts])]}
+            ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end)).astype(kind).tobytes() for x in e.encode([t or "" for t in texts])]
+            return {"doc_id": doc_ids, "shard": at.tolist(), "ids": ids}
 
         return f
 
@@ -153,7 +158,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end: int = END) -> lis
                     final, mine = f"{top}/shard-{shard:08d}.pfor", f"{top}/.shard-{shard:08d}-{uuid.uuid4().hex}"
                     number, writer = shard, ShardWriter(store.open_output_stream(mine))
                 assert shard == number, (shard, number, TaskContext.get().partitionId())
-                writer.add(doc, np.frombuffer(ids, "<u4"))
+                writer.add(doc, np.frombuffer(ids, kind).astype("<u4"))
         if writer is not None:
             writer.close()
             writer.out.close()
