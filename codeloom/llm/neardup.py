@@ -9,12 +9,15 @@ inverted lists: a linked pair meets in one of them. Values of common passages ar
 
 Pairs come from the lists in two rounds, neither of which emits all pairs of a list:
 
-1. each member is held against its list's first member; pairs whose union sketch estimates less than FLOOR are dropped (two linked pairs in a million at the threshold), the
-   exact Jaccard of the full sets verifies the others, and the links' components follow;
-2. lists whose members are in several components are left. Blocks of them are compared block by block, sketches against
-   sketches, inside tasks, and only pairs of different components above FLOOR come out for the exact check.
+1. each member is held against its list's leader. Leaders are chosen by STARS hash functions, dealt to the lists by their value,
+   so lists that hold about the same documents hold them against about STARS leaders in all. Pairs whose sketches estimate less
+   than FLOOR are dropped (two linked pairs in a million at the threshold); the exact Jaccard of the full sets verifies the
+   others, and the links' components follow;
+2. lists whose members are still in several components are left. Blocks of them are compared with each other inside tasks, and
+   only links that join components come out, for the exact check.
 
-So a large group of near copies costs one pair for each member and list in round 1, and nothing is capped.
+So a large group of near copies costs a few pairs for each member in round 1, few members remain for round 2, and nothing is capped.
+The estimate counts values up to the smaller of the two sketches' largest ones: up to there both sets are known.
 
 Null, empty and blank texts have empty sets and link with nothing; so do rows with null doc_id, whose component_id is null and which
 are kept. Rows that repeat a doc_id share one component. Extra columns are not read.
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm._shared import Cache, map_texts, written
 
-WORDS, K, LEAST, FLOOR = 5, 40, 0.35, 0.4
+WORDS, K, LEAST, FLOOR, STARS = 5, 40, 0.35, 0.45, 6
 THRESHOLD = (3, 4)  # Jaccard of 3/4
 BLOCK = 256
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -88,33 +91,49 @@ def _near_size(a, b):
     return (F.least(a, b) * THRESHOLD[1]) >= (F.greatest(a, b) * THRESHOLD[0])
 
 
+def _leaders(lists: DataFrame) -> DataFrame:
+    order = F.xxhash64("doc", F.pmod("value", F.lit(STARS)))
+    return lists.groupBy("value").agg(F.min(F.struct(order.alias("o"), "doc", "n")).alias("first"), F.count("*").alias("m"))
+
+
 def first_pairs(lists: DataFrame) -> DataFrame:
-    """a < b: each list's members with its first."""
-    first = lists.groupBy("value").agg(F.min(F.struct("doc", "n")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    met = lists.join(first, "value").where((F.col("first.doc") < F.col("doc")) & _near_size(F.col("first.n"), F.col("n")))
-    return met.select(F.col("first.doc").alias("a"), F.col("doc").alias("b")).distinct()
+    """a < b: each list's members with its leader."""
+    met = lists.join(_leaders(lists).where("m > 1"), "value").where((F.col("first.doc") != F.col("doc")) & _near_size(F.col("first.n"), F.col("n")))
+    return met.select(F.least("first.doc", "doc").alias("a"), F.greatest("first.doc", "doc").alias("b")).distinct()
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, k: int = K) -> DataFrame:
-    """Pairs whose union sketch leaves a link possible."""
-    key = lambda x: F.transform(x, lambda v: v.bitwiseXOR(F.lit(-(1 << 63))))  # noqa: E731  unsigned order
-    s = classes.select(F.col("doc_id"), key(F.col("sketch")).alias("sketch"))
+    """Pairs whose sketches leave a link possible."""
+    key = F.transform("sketch", lambda v: v.bitwiseXOR(F.lit(-(1 << 63))))  # unsigned order
+    s = classes.select("doc_id", key.alias("sketch"))
     both = pairs.join(s.toDF("a", "x"), "a").join(s.toDF("b", "y"), "b")
-    union = F.slice(F.array_sort(F.array_union("x", "y")), 1, k)
-    shared = F.array_intersect("x", "y")
-    return both.where(F.size(F.array_intersect(union, shared)) >= FLOOR * F.size(union)).select("a", "b")
+    last = lambda c: F.when(F.size(c) < k, F.lit((1 << 63) - 1)).otherwise(F.element_at(c, F.lit(-1)))
+    both = both.withColumn("t", F.least(last("x"), last("y"))).withColumn("shared", F.size(F.array_intersect("x", "y")))
+    known = F.size(F.filter("x", lambda v: v <= F.col("t"))) + F.size(F.filter("y", lambda v: v <= F.col("t"))) - F.col("shared")
+    return both.where(F.col("shared") >= FLOOR * known).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose full sets have the Jaccard; only documents in pairs are read again."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct()
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(ids, "doc_id", "left_semi")
+def sets_of(ids: DataFrame, docs: DataFrame, kind: type) -> DataFrame:
+    """doc, set: the sorted hashes of the documents in ids, or (uint32) their upper halves, which sort alike. The texts are read
+    again."""
+    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(ids.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
 
     def make():
         hashed = word_hashes()
-        return lambda doc_ids, texts: {"doc": doc_ids, "set": [shingles(t, hashed).tobytes() for t in texts]}
 
-    sets = written(map_texts(texts, "doc long, set binary", make).dropDuplicates(["doc"]), "sets")
+        def f(doc_ids, texts):
+            sets = [shingles(t, hashed) for t in texts]
+            return {"doc": doc_ids, "set": [(s if kind is np.uint64 else (s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]}
+
+        return f
+
+    return map_texts(texts, "doc long, set binary", make).dropDuplicates(["doc"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs whose full sets have the Jaccard; only documents in pairs are read again."""
+    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b"))).distinct()
+    sets = written(sets_of(ids, docs, np.uint64), "sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
 
     def compare(batches):
@@ -150,42 +169,66 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("doc"), F.col("v").alias("component"))
 
 
-def _pairs_in_blocks(k: int):
-    """For rows sorted by (value, i, j): compares block i with block j of a list, sketch against sketch."""
+def _links_in_blocks(k: int):
+    """For rows (value, i, j, block, doc, n, comp, listed, set) sorted by (value, i, j): compares block i with block j of a list.
+
+    A pair is compared only in the list of its smallest common value. Sketches are compared by one matrix product, sets (upper
+    halves of the hashes, with room for two that collide) only where the estimate leaves a link possible, and of the links
+    between the rows only those that join components come out.
+    """
 
     def compare(rows: list[tuple], out: tuple[list, list]) -> None:
         if len(rows) < 2:
             return
-        i, j = rows[0][1:3]
-        doc = np.array([r[4] for r in rows])
-        block, n, comp = np.array([r[3] for r in rows]), np.array([r[5] for r in rows]), np.array([r[6] for r in rows])
-        size = np.array([len(r[7]) for r in rows])
-        _, at = np.unique(np.concatenate([np.asarray(r[7], np.int64) for r in rows]), return_inverse=True)
-        held = np.zeros((len(rows), at.max() + 1), np.float32)
-        held[np.repeat(np.arange(len(rows)), size), at] = 1
-        shared = held @ held.T
-        ok = (comp[:, None] != comp[None, :]) & (doc[:, None] < doc[None, :])
+        value, i, j = rows[0][:3]
+        doc, block, n, comp = (np.array([r[c] for r in rows]) for c in (4, 3, 5, 6))
+        sets = [np.frombuffer(r[8], np.uint32) for r in rows]
+        sketch = [s[:k] for s in sets]
+        size = np.array([len(s) for s in sketch])
+
+        def shared(each: list[np.ndarray]) -> np.ndarray:
+            _, at, times = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+            met = times > 1  # a value of one row is shared with none
+            column, keep = np.cumsum(met) - 1, met[at]
+            held = np.zeros((len(rows), int(met.sum()) or 1), np.float32)
+            held[np.repeat(np.arange(len(rows)), [len(x) for x in each])[keep], column[at[keep]]] = 1
+            return held @ held.T
+
+        both = shared(sketch)
+        last = np.array([s[-1] if len(s) == k else np.iinfo(np.uint32).max for s in sketch])
+        upto = np.stack([np.searchsorted(s, last, side="right") for s in sketch])  # of row a, up to b's largest
+        ok = (comp[:, None] != comp[None, :]) & (doc[:, None] < doc[None, :]) & (both >= FLOOR * (upto + upto.T - both))
         ok &= np.minimum(n[:, None], n[None, :]) * THRESHOLD[1] >= np.maximum(n[:, None], n[None, :]) * THRESHOLD[0]
-        # shared values of the two sketches are at least those of the union's sketch
-        ok &= shared >= FLOOR * np.minimum(k, np.maximum(size[:, None], size[None, :]))
         if i != j:
-            ok &= (block[:, None] != block[None, :])
-        a, b = np.nonzero(ok)
-        out[0].extend(doc[a].tolist())
-        out[1].extend(doc[b].tolist())
+            ok &= block[:, None] != block[None, :]
+        if ok.any():
+            ok &= shared([np.array([v for v in r[7] if v < value], np.int64) for r in rows]) == 0
+        parent = {c: c for c in comp.tolist()}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        for a, b in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
+            p, q = root(int(comp[a])), root(int(comp[b]))
+            if p != q:
+                same = len(np.intersect1d(sets[a], sets[b], assume_unique=False))
+                if THRESHOLD[1] * (same + 2) >= THRESHOLD[0] * (int(n[a]) + int(n[b]) - same - 2):
+                    out[0].append(int(doc[a]))
+                    out[1].append(int(doc[b]))
+                    if THRESHOLD[1] * (same - 2) >= THRESHOLD[0] * (int(n[a]) + int(n[b]) - same + 2):
+                        parent[p] = q  # certain
 
     def run(batches):
         group: list[tuple] = []
+        out: tuple[list, list] = ([], [])
         for batch in batches:
-            out: tuple[list, list] = ([], [])
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and group[0][:3] != row[:3]:
                     compare(group, out)
                     group = []
                 group.append(row)
-            if out[0]:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
-        out = ([], [])
         compare(group, out)
         if out[0]:
             yield pa.RecordBatch.from_pydict({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
@@ -193,18 +236,21 @@ def _pairs_in_blocks(k: int):
     return run
 
 
-def other_pairs(lists: DataFrame, classes: DataFrame, found: DataFrame, k: int = K) -> DataFrame:
-    """a < b of different components that share a list, but not with its first member (round 1 saw those)."""
+def other_pairs(lists: DataFrame, docs: DataFrame, found: DataFrame, k: int = K) -> DataFrame:
+    """a < b of different components that share a list, but not with its leader (round 1 saw those), and are linked but for
+    colliding half hashes."""
     named = lists.join(found, lists["doc"] == found["doc"], "left").select("value", lists["doc"], "n", F.coalesce("component", lists["doc"]).alias("comp"))
-    split = named.groupBy("value").agg(F.min("doc").alias("first"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("m > 2 and low < high")
-    left = named.join(split, "value").where("doc <> first").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    left = left.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    split = named.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    leaders = _leaders(lists).where("m > 2").select("value", F.col("first.doc").alias("first"), "m")
+    left = named.join(split.join(leaders, "value"), "value").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    left = written(left.select("value", "doc", "n", "comp", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block")), "left")
+    listed = left.groupBy("doc").agg(F.collect_list("value").alias("listed"))
+    members = listed.join(written(sets_of(left.select("doc").distinct(), docs, np.uint32), "sets"), "doc")
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = left.select("value", "doc", "n", "comp", "block", others.alias("o")).select("value", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc", "n", "comp")
-    full = dealt.join(classes.select(F.col("doc_id").alias("doc"), "sketch"), "doc")
-    rows = full.select("value", "i", "j", "block", "doc", "n", "comp", "sketch")
+    rows = dealt.join(members, "doc").select("value", "i", "j", "block", "doc", "n", "comp", "listed", "set")
     parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(_pairs_in_blocks(k), "a long, b long").distinct()
+    return rows.repartition(parts, "value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(_links_in_blocks(k), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -217,7 +263,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = written(postings(classes), "lists")
     links = written(verified(written(estimated(first_pairs(lists), classes), "pairs"), docs), "links")
     found = components(links)
-    more = written(estimated(other_pairs(lists, classes, found), classes), "pairs")
+    more = written(other_pairs(lists, docs, found), "pairs")
     if not more.isEmpty():
         found = components(links.union(verified(more, docs)))
     named = least.join(found, least["rep"] == found["doc"], "left").select(F.col("print"), F.coalesce("component", "rep").alias("component_id"))
