@@ -4,17 +4,17 @@ A document's set is its distinct five-word shingles (64-bit hashes). Equal sets
 doc_id goes on. Its sketch is the K smallest hashes of one hash function, the whole set if that is smaller.
 
 Two sets with Jaccard >= 0.75 share 0.75 of the K smallest hashes of their union on average, and at least LEAST of them but for
-about one pair in ten million at the threshold. So a document lists only its s - LEAST * s + 1 rarest sketch values in the
+about three pairs in a million at the threshold. So a document lists only its s - LEAST * s + 1 rarest sketch values in the
 inverted lists: a linked pair meets in one of them. Values of common passages are the most frequent and drop out.
 
 Pairs come from the lists in two rounds, neither of which emits all pairs of a list:
 
 1. each member is held against its list's leader. Leaders are chosen by STARS hash functions, dealt to the lists by their value,
    so lists that hold about the same documents hold them against about STARS leaders in all. Pairs whose sketches estimate less
-   than FLOOR are dropped (two linked pairs in a million at the threshold); the exact Jaccard of the full sets verifies the
+   than FLOOR are dropped (the same pairs that fall short of LEAST); the exact Jaccard of the full sets verifies the
    others, and the links' components follow;
-2. lists whose members are still in several components are left. Blocks of them are compared with each other inside tasks, and
-   only links that join components come out, for the exact check.
+2. lists whose members are still in several components are left. The members outside a list's largest component are held, in
+   blocks, against the rest inside tasks, and only links that join components come out, for the exact check.
 
 So a large group of near copies costs a few pairs for each member in round 1, few members remain for round 2, and nothing is capped.
 The estimate counts values up to the smaller of the two sketches' largest ones: up to there both sets are known.
@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 
 from codeloom.llm._shared import Cache, map_texts, written
 
-WORDS, K, LEAST, FLOOR, STARS = 5, 40, 0.35, 0.45, 6
+WORDS, K, LEAST, FLOOR, STARS = 5, 40, 0.425, 0.425, 6
 THRESHOLD = (3, 4)  # Jaccard of 3/4
-BLOCK = 256
+BLOCK, PAST, SLICE = 1024, 256, 8192
+BITS = 1 << 26  # of the filter for documents read again: at most BITS / 64 rows are broadcast
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -113,10 +114,23 @@ def estimated(pairs: DataFrame, classes: DataFrame, k: int = K) -> DataFrame:
     return both.where(F.col("shared") >= FLOOR * known).select("a", "b")
 
 
+def _perhaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id is in ids (doc), and a few others: a bit map of BITS bits, broadcast by words, keeps the texts of the rest
+    out of the shuffle. Beyond some tens of millions of ids it lets more through; the exact join that follows drops them."""
+
+    def place(c):
+        bit = F.pmod(F.xxhash64(c), F.lit(BITS))
+        return F.floor(bit / 64).alias("word"), F.expr("1L").alias("one"), F.pmod(bit, F.lit(64)).cast("int").alias("bit")
+
+    words = ids.select(*place("doc")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("mask"))
+    met = docs.select("*", *place("doc_id")).join(F.broadcast(words), "word")
+    return met.where("(shiftright(mask, bit) & 1) = 1").drop("word", "one", "bit", "mask")
+
+
 def sets_of(ids: DataFrame, docs: DataFrame, kind: type) -> DataFrame:
     """doc, set: the sorted hashes of the documents in ids, or (uint32) their upper halves, which sort alike. The texts are read
     again."""
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(ids.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+    texts = _perhaps(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), ids)
 
     def make():
         hashed = word_hashes()
@@ -127,7 +141,7 @@ def sets_of(ids: DataFrame, docs: DataFrame, kind: type) -> DataFrame:
 
         return f
 
-    return map_texts(texts, "doc long, set binary", make).dropDuplicates(["doc"])
+    return map_texts(texts, "doc long, set binary", make).join(ids, "doc", "left_semi").dropDuplicates(["doc"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -169,41 +183,50 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("doc"), F.col("v").alias("component"))
 
 
-def _links_in_blocks(k: int):
-    """For rows (value, i, j, block, doc, n, comp, listed, set) sorted by (value, i, j): compares block i with block j of a list.
+def _links_in_lists(k: int):
+    """For rows (value, i, c, role, doc, n, comp, listed, set) sorted by (value, i, c, role): holds the rows of role 0, at most
+    about BLOCK, against each other (in slice 0) and against the rows of role 1, which stream past.
 
     A pair is compared only in the list of its smallest common value. Sketches are compared by one matrix product, sets (upper
     halves of the hashes, with room for two that collide) only where the estimate leaves a link possible, and of the links
     between the rows only those that join components come out.
     """
 
-    def compare(rows: list[tuple], out: tuple[list, list]) -> None:
-        if len(rows) < 2:
+    def shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+        values, at = np.unique(np.concatenate(x + y), return_inverse=True)
+        cut = sum(map(len, x))
+        met = np.zeros((2, len(values)), bool)
+        met[0, at[:cut]], met[1, at[cut:]] = True, True
+        met = met.all(axis=0)
+        column = np.cumsum(met) - 1
+
+        def held(each, at):
+            out = np.zeros((len(each), int(met.sum()) or 1), np.float32)
+            out[np.repeat(np.arange(len(each)), [len(v) for v in each])[met[at]], column[at[met[at]]]] = 1
+            return out
+
+        return held(x, at[:cut]) @ held(y, at[cut:]).T
+
+    def upto(sketch: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+        """How many values of each sketch are known to both."""
+        last = np.array([s[-1] if len(s) == k else np.iinfo(np.uint32).max for s in other])
+        return np.stack([np.searchsorted(s, last, side="right") for s in sketch])
+
+    def compare(one: list[tuple], two: list[tuple], parent: Cache, out: tuple[list, list]) -> None:
+        if not one or not two:
             return
-        value, i, j = rows[0][:3]
-        doc, block, n, comp = (np.array([r[c] for r in rows]) for c in (4, 3, 5, 6))
-        sets = [np.frombuffer(r[8], np.uint32) for r in rows]
-        sketch = [s[:k] for s in sets]
-        size = np.array([len(s) for s in sketch])
-
-        def shared(each: list[np.ndarray]) -> np.ndarray:
-            _, at, times = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-            met = times > 1  # a value of one row is shared with none
-            column, keep = np.cumsum(met) - 1, met[at]
-            held = np.zeros((len(rows), int(met.sum()) or 1), np.float32)
-            held[np.repeat(np.arange(len(rows)), [len(x) for x in each])[keep], column[at[keep]]] = 1
-            return held @ held.T
-
-        both = shared(sketch)
-        last = np.array([s[-1] if len(s) == k else np.iinfo(np.uint32).max for s in sketch])
-        upto = np.stack([np.searchsorted(s, last, side="right") for s in sketch])  # of row a, up to b's largest
-        ok = (comp[:, None] != comp[None, :]) & (doc[:, None] < doc[None, :]) & (both >= FLOOR * (upto + upto.T - both))
-        ok &= np.minimum(n[:, None], n[None, :]) * THRESHOLD[1] >= np.maximum(n[:, None], n[None, :]) * THRESHOLD[0]
-        if i != j:
-            ok &= block[:, None] != block[None, :]
+        value = one[0][0]
+        (doc, n, comp), (doc2, n2, comp2) = ([np.array([r[c] for r in rows]) for c in (4, 5, 6)] for rows in (one, two))
+        sets, sets2 = ([np.frombuffer(r[8], np.uint32) for r in rows] for rows in (one, two))
+        sketch, sketch2 = [s[:k] for s in sets], [s[:k] for s in sets2]
+        both = shared(sketch, sketch2)
+        ok = (comp[:, None] != comp2) & (both >= FLOOR * (upto(sketch, sketch2) + upto(sketch2, sketch).T - both))
+        ok &= np.minimum(n[:, None], n2) * THRESHOLD[1] >= np.maximum(n[:, None], n2) * THRESHOLD[0]
+        if one is two:
+            ok &= doc[:, None] < doc2
         if ok.any():
-            ok &= shared([np.array([v for v in r[7] if v < value], np.int64) for r in rows]) == 0
-        parent = {c: c for c in comp.tolist()}
+            before = [[np.array([v for v in r[7] if v < value], np.int64) for r in rows] for rows in (one, two)]
+            ok &= shared(*before) == 0
 
         def root(c: int) -> int:
             while parent[c] != c:
@@ -211,46 +234,72 @@ def _links_in_blocks(k: int):
             return c
 
         for a, b in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
-            p, q = root(int(comp[a])), root(int(comp[b]))
+            p, q = root(int(comp[a])), root(int(comp2[b]))
             if p != q:
-                same = len(np.intersect1d(sets[a], sets[b], assume_unique=False))
-                if THRESHOLD[1] * (same + 2) >= THRESHOLD[0] * (int(n[a]) + int(n[b]) - same - 2):
-                    out[0].append(int(doc[a]))
-                    out[1].append(int(doc[b]))
-                    if THRESHOLD[1] * (same - 2) >= THRESHOLD[0] * (int(n[a]) + int(n[b]) - same + 2):
+                same = len(np.intersect1d(sets[a], sets2[b], assume_unique=False))
+                size = int(n[a]) + int(n2[b])
+                if THRESHOLD[1] * (same + 2) >= THRESHOLD[0] * (size - same - 2):
+                    out[0].append(int(min(doc[a], doc2[b])))
+                    out[1].append(int(max(doc[a], doc2[b])))
+                    if THRESHOLD[1] * (same - 2) >= THRESHOLD[0] * (size - same + 2):
                         parent[p] = q  # certain
 
     def run(batches):
-        group: list[tuple] = []
         out: tuple[list, list] = ([], [])
+        key, held, passing, parent, inside = None, [], [], Cache(lambda c: c, 1 << 62), False
+
+        def flush():
+            nonlocal inside
+            if key and key[2] == 0 and not inside:
+                compare(held, held, parent, out)
+            inside = True
+            compare(held, passing, parent, out)
+            passing.clear()
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and group[0][:3] != row[:3]:
-                    compare(group, out)
-                    group = []
-                group.append(row)
-        compare(group, out)
+                if key != row[:3]:
+                    flush()
+                    key, held, inside = row[:3], [], False
+                    parent.clear()
+                if row[3] == 0:
+                    held.append(row)
+                else:
+                    passing.append(row)
+                    if len(passing) == PAST:
+                        flush()
+        flush()
         if out[0]:
             yield pa.RecordBatch.from_pydict({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     return run
 
 
-def other_pairs(lists: DataFrame, docs: DataFrame, found: DataFrame, k: int = K) -> DataFrame:
-    """a < b of different components that share a list, but not with its leader (round 1 saw those), and are linked but for
-    colliding half hashes."""
+def _blocks(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """value, i, c, role, doc, n, comp of the lists whose members are in several components.
+
+    The largest component of a list needs no comparison inside itself. The others are dealt to blocks of about BLOCK. A block is
+    held against the members of later blocks and of the largest component; slices of about SLICE of those go to different tasks.
+    """
     named = lists.join(found, lists["doc"] == found["doc"], "left").select("value", lists["doc"], "n", F.coalesce("component", lists["doc"]).alias("comp"))
-    split = named.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    leaders = _leaders(lists).where("m > 2").select("value", F.col("first.doc").alias("first"), "m")
-    left = named.join(split.join(leaders, "value"), "value").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    left = written(left.select("value", "doc", "n", "comp", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block")), "left")
-    listed = left.groupBy("doc").agg(F.collect_list("value").alias("listed"))
-    members = listed.join(written(sets_of(left.select("doc").distinct(), docs, np.uint32), "sets"), "doc")
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = left.select("value", "doc", "n", "comp", "block", others.alias("o")).select("value", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc", "n", "comp")
-    rows = dealt.join(members, "doc").select("value", "i", "j", "block", "doc", "n", "comp", "listed", "set")
+    sizes = named.groupBy("value", "comp").agg(F.count("*").alias("x")).groupBy("value").agg(F.sum("x").alias("m"), F.max(F.struct("x", "comp")).alias("top"), F.count("*").alias("comps"))
+    sizes = sizes.where("m > 2 and comps > 1").select("value", F.col("top.comp").alias("top"), F.ceil((F.col("m") - F.col("top.x")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("m") / SLICE).cast("int").alias("slices"))
+    left = named.join(sizes, "value")
+    own = F.when(F.col("comp") != F.col("top"), F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).otherwise(F.col("blocks"))
+    left = written(left.withColumn("own", own).withColumn("slice", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("slices")).cast("int")).drop("top"), "left")
+    held = left.where("own < blocks").select("value", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("c"), F.lit(0).alias("role"), "doc", "n", "comp")
+    past = left.where("own > 0").select("value", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"), F.col("slice").alias("c"), F.lit(1).alias("role"), "doc", "n", "comp")
+    return held.union(past)
+
+
+def other_pairs(lists: DataFrame, docs: DataFrame, found: DataFrame, k: int = K) -> DataFrame:
+    """a < b of different components that share a list, and are linked but for colliding half hashes."""
+    dealt = written(_blocks(lists, found), "dealt")
+    listed = dealt.groupBy("doc").agg(F.collect_set("value").alias("listed"))
+    members = listed.join(written(sets_of(dealt.select("doc").distinct(), docs, np.uint32), "sets"), "doc")
+    rows = dealt.join(members, "doc").select("value", "i", "c", "role", "doc", "n", "comp", "listed", "set")
     parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(_links_in_blocks(k), "a long, b long").distinct()
+    return rows.repartition(parts, "value", "i", "c").sortWithinPartitions("value", "i", "c", "role").mapInArrow(_links_in_lists(k), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
