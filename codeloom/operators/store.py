@@ -58,3 +58,14 @@ def delete(runs: DataFrame, run_id) -> DataFrame:
 def migrate(old: DataFrame, new: DataFrame) -> DataFrame:
     """Columns that old lacks become null."""
     return new.limit(0).unionByName(old, allowMissingColumns=True)
+
+
+def append(scores: DataFrame, new: DataFrame) -> DataFrame:
+    """Plain rows: what is logged twice is there twice."""
+    return scores.unionByName(new)
+
+
+def results_table(runs: DataFrame) -> DataFrame:
+    """run_id and a line of fixed width: stage, metric or pending, time."""
+    shown = F.when(F.col("chrf").isNull(), F.lit("pending")).otherwise(F.format_string("%.4f", "chrf"))
+    return runs.select("run_id", F.concat(F.rpad("stage", 8, " "), F.lit(" "), F.lpad(shown, 12, " "), F.lit("  "), F.left("ts", F.lit(16))).alias("line"))

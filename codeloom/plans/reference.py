@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions import paths, text
-from codeloom.operators import bm25, context, graph, store
+from codeloom.operators import baselines, bm25, context, evaluation, graph, hybrid, store
 from codeloom.operators.chrf import chrf as chrf_of
 
 QUERIES: dict = {}
@@ -337,3 +337,102 @@ def run_id(spark, sf_dir):
 def sweep_grid(spark, sf_dir):
     b, g = spark.range(11).select((F.col("id") / 10.0).alias("bm25")), spark.range(11).select((F.col("id") / 10.0).alias("graph"))
     return b.crossJoin(g).select("bm25", "graph", F.round(F.greatest(1 - F.col("bm25") - F.col("graph"), F.lit(0.0)), 2).alias("symbol"))
+
+
+_STOPPED = f"x NOT IN ({_STOP}) AND length(x) > 1"
+_IDS = "[x FOR x IN list_distinct(regexp_extract_all({}, '[A-Za-z_][A-Za-z0-9_]*')) IF " + _STOPPED + "]"
+SYMBOLS = f"""wanted AS (SELECT sample, repo_key, len({_IDS.format('query')}) AS n, unnest({_IDS.format('query')}) AS id FROM asked),
+held AS (SELECT repo_key, path, unnest({_IDS.format('content')}) AS id FROM files),
+symbols AS (SELECT sample, repo_key, path, count(*) / any_value(n)::DOUBLE AS symbol FROM held JOIN wanted USING (repo_key, id) GROUP BY ALL)"""
+HYBRID = f"""{BM25}, {SYMBOLS}, edges AS (SELECT a.doc_id AS src, b.doc_id AS dst FROM documents a JOIN documents b ON b.doc_id = a.doc_id // 2 AND b.lang = a.lang AND b.doc_id <> a.doc_id),
+both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), starts AS (SELECT DISTINCT sample AS s FROM asked),
+seen AS (SELECT s, s AS node, 0 AS hop FROM starts UNION ALL SELECT DISTINCT s, dst, 1 FROM starts JOIN both_ways ON src = s WHERE dst <> s),
+w AS (SELECT s, dst AS node, power(0.65, hop) AS w FROM seen JOIN edges ON src = node UNION ALL SELECT s, src, power(0.65, hop) * 0.35 FROM seen JOIN edges ON dst = node),
+graph AS (SELECT s AS sample, 'doc_' || node || '.py' AS path, round(max(w), 6) AS graph FROM w WHERE s <> node GROUP BY s, node),
+near AS (SELECT DISTINCT s AS sample, 'doc_' || dst || '.py' AS path, 0.05::DOUBLE AS boost FROM starts JOIN edges ON src = s),
+mixed AS (SELECT sample, repo_key, path, bm25_norm, round(coalesce(graph, 0) + coalesce(symbol, 0), 6) AS graph_symbol, round(0.55::DOUBLE * bm25_norm + 0.3::DOUBLE * coalesce(graph, 0) + 0.15::DOUBLE * coalesce(symbol, 0) + coalesce(boost, 0), 6) AS final FROM scored LEFT JOIN graph USING (sample, path) LEFT JOIN symbols USING (sample, repo_key, path) LEFT JOIN near USING (sample, path)),
+hybrid AS (SELECT *, row_number() OVER (PARTITION BY sample, repo_key ORDER BY final DESC, path) - 1 AS rank FROM mixed)"""
+
+
+def _symbols(spark, sf_dir):
+    wanted = asked(spark, sf_dir).select("sample", "repo_key", text.query_identifiers(F.col("query")).alias("ids"))
+    return hybrid.symbol_scores(wanted, files(spark, sf_dir).select("repo_key", "path", text.query_identifiers(F.col("content")).alias("symbols")))
+
+
+def _hybrid(spark, sf_dir):
+    """Documents import the one of half their number in the same repository; a sample's completion file has its number."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    edges = d.withColumn("dst", F.floor(F.col("doc_id") / 2)).join(d.toDF("dst", "lang"), ["dst", "lang"]).where("dst <> doc_id").select(F.col("doc_id").alias("src"), "dst")
+    starts = asked(spark, sf_dir).select(F.col("sample").alias("start")).distinct()
+    named = lambda c: F.concat(F.lit("doc_"), F.col(c).cast("string"), F.lit(".py")).alias("path")
+    scores = graph.graph_scores(edges, starts).select(F.col("start").alias("sample"), named("node"), F.col("score").alias("graph"))
+    near = starts.join(edges, starts["start"] == edges["src"]).select(F.col("start").alias("sample"), named("dst"))
+    return hybrid.rank(bm25.scores(files(spark, sf_dir), asked(spark, sf_dir)).select("sample", "repo_key", "path", "bm25_norm"), scores, _symbols(spark, sf_dir), near)
+
+
+@query(f"WITH {BM25}, {SYMBOLS} SELECT sample, repo_key, path, round(symbol, 6) AS symbol FROM symbols")
+def symbol_scores(spark, sf_dir):
+    return _symbols(spark, sf_dir).withColumn("symbol", F.round("symbol", 6))
+
+
+@query(f"WITH {HYBRID} SELECT sample, repo_key, path, bm25_norm, graph_symbol, final FROM mixed")
+def hybrid_rank(spark, sf_dir):
+    return _hybrid(spark, sf_dir).drop("rank")
+
+
+@query(f"WITH {HYBRID} SELECT sample, repo_key, path, final, rank FROM hybrid WHERE rank < 25")
+def hybrid_topk(spark, sf_dir):
+    return _hybrid(spark, sf_dir).where("rank < 25").select("sample", "repo_key", "path", "final", "rank")
+
+
+@query(f"""WITH {HYBRID}, best AS (SELECT h.*, length('<|file_sep|>' || path || chr(10) || content || chr(10)) AS len FROM hybrid h JOIN files USING (repo_key, path) WHERE rank < 25),
+allowed AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY sample, repo_key ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY sample, repo_key ORDER BY rank) AS i FROM best WHERE path <> 'doc_' || sample || '.py')
+SELECT 'sample_' || b.sample AS sample_id, b.repo_key AS repo, b.path AS retrieved_file, b.rank, b.bm25_norm AS bm25_score, b.graph_symbol AS graph_score, b.final AS combined_score, coalesce(a.i <= 6 AND (a.before + a.len <= 32000 OR 32000 - a.before >= 512), false) AS included_in_context FROM best b LEFT JOIN allowed a ON a.sample = b.sample AND a.repo_key = b.repo_key AND a.path = b.path""")
+def score_records(spark, sf_dir):
+    best = _hybrid(spark, sf_dir).where("rank < 25").withColumn("at", F.concat_ws("-", F.col("sample").cast("string"), "repo_key"))
+    allowed = best.where(F.col("path") != F.concat(F.lit("doc_"), F.col("sample").cast("string"), F.lit(".py"))).join(files(spark, sf_dir), ["repo_key", "path"])
+    kept = context.included(allowed.select(F.col("at").alias("sample"), "rank", "path", "content"), 6, 32000).select(F.col("sample").alias("at"), "path", "included")
+    found = best.join(kept, ["at", "path"], "left")
+    return found.select(F.concat(F.lit("sample_"), F.col("sample").cast("string")).alias("sample_id"), F.col("repo_key").alias("repo"), F.col("path").alias("retrieved_file"), "rank", F.col("bm25_norm").alias("bm25_score"), F.col("graph_symbol").alias("graph_score"), F.col("final").alias("combined_score"), F.coalesce("included", F.lit(False)).alias("included_in_context"))
+
+
+_LONG = "SELECT * FROM files WHERE len(string_split(regexp_replace(content, '\\n$', ''), chr(10))) >= 10"
+
+
+def _long(spark, sf_dir):
+    return files(spark, sf_dir).where(F.size(F.split(F.regexp_replace("content", "\n\\z", ""), "\n", -1)) >= 10)
+
+
+@query(f"WITH {FILES}, long AS ({_LONG}) SELECT repo_key, arg_min(path, md5(path || '7')) AS path FROM long GROUP BY repo_key")
+def baseline_random(spark, sf_dir):
+    return baselines.random_file(_long(spark, sf_dir), "7")
+
+
+@query(f"""WITH {FILES}, long AS ({_LONG}), points AS (SELECT item_id AS sample, lang AS repo_key FROM benchmark, (SELECT DISTINCT lang FROM documents) WHERE item_id % 20 = 0),
+named AS (SELECT sample, repo_key, 'doc_' || unnest([sample, sample + 1, sample + 2]) || '.py' AS path FROM points),
+recent AS (SELECT sample, repo_key, arg_min(path, md5(path || '7')) AS path FROM named JOIN long USING (repo_key, path) GROUP BY ALL),
+other AS (SELECT repo_key, arg_min(path, md5(path || '7')) AS other FROM long GROUP BY repo_key)
+SELECT sample, repo_key, coalesce(path, other) AS path FROM points LEFT JOIN recent USING (sample, repo_key) LEFT JOIN other USING (repo_key)""")
+def baseline_recent(spark, sf_dir):
+    names = F.array(*(F.concat(F.lit("doc_"), (F.col("sample") + i).cast("string"), F.lit(".py")) for i in range(3)))
+    return baselines.recent_file(_long(spark, sf_dir), asked(spark, sf_dir).select("sample", "repo_key", names.alias("modified")), "7")
+
+
+@query("SELECT item_id AS sample_idx, text AS context, CASE WHEN item_id % 2 = 0 THEN left(text, 9) ELSE left(text, 20) END AS prefix, right(text, 20) AS suffix, substr(text, 21, 10) AS middle FROM benchmark")
+def eval_join(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "sample_idx")
+    points = b.select("sample_idx", F.left("text", F.lit(20)).alias("prefix"), F.right("text", F.lit(20)).alias("suffix"))
+    predictions = b.select("sample_idx", F.col("text").alias("context"), F.when(F.col("sample_idx") % 2 == 0, F.left("text", F.lit(9))).alias("prefix"), F.lit(None).cast("string").alias("suffix"))
+    return evaluation.eval_join(points, b.select("sample_idx", F.substring("text", 21, 10).alias("middle")), predictions)
+
+
+@query(f"WITH {RUNS} SELECT run_id, rpad(stage, 8, ' ') || ' ' || lpad(coalesce(printf('%.4f', chrf), 'pending'), 12, ' ') || '  ' || left(ts, 16) AS line FROM runs")
+def results_table(spark, sf_dir):
+    return store.results_table(runs(spark, sf_dir))
+
+
+@query("SELECT l_orderkey AS run_id, l_partkey AS path FROM lineitem UNION ALL SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+def scores_append(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem")
+    named = [F.col("l_orderkey").alias("run_id"), F.col("l_partkey").alias("path")]
+    return store.append(line.select(*named), line.where("l_returnflag = 'R'").select(*named))

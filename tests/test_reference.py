@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths, text
-from codeloom.operators import context, graph, store
+from codeloom.functions.syntax import ast_metadata
+from codeloom.operators import context, evaluation, graph, store
 from codeloom.plans.reference import QUERIES, SQL
+from codeloom.sources.files import register
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,3 +78,45 @@ def test_graph_rejects_growth(spark):
 def test_metric_names(spark):
     with pytest.raises(ValueError):
         store.best(spark.range(1), "speed", 1)
+
+
+def test_repository_source(spark, tmp_path):
+    register(spark)
+    pkg = tmp_path / "owner__name-abc" / "pkg"
+    (pkg / ".hid").mkdir(parents=True)
+    for name, body in (("__init__.py", b"from .util import f as g\n"), (".dot.py", b"x = 1"), (".hid/h.py", b""), ("crlf.py", b"a = 1\r\nb: int = 2\r\n"), ("bad.py", b"s = '\xff'\n"), ("no.txt", b"x")):
+        (pkg / name).write_bytes(body)
+    got = {r["path"]: r for r in spark.read.format("repository").load(str(tmp_path)).collect()}
+    assert sorted(got) == ["pkg/.dot.py", "pkg/.hid/h.py", "pkg/__init__.py", "pkg/bad.py", "pkg/crlf.py"]
+    assert {r["repo_key"] for r in got.values()} == {"owner__name-abc"} and not got["pkg/bad.py"]["strict_utf8"]
+    assert got["pkg/crlf.py"]["content"] == "a = 1\nb: int = 2\n" and got["pkg/crlf.py"]["line_count"] == 2
+    assert [got[f"pkg/{n}"]["readline_count"] for n in (".dot.py", ".hid/h.py", "crlf.py")] == [1, 0, 2]
+
+
+def test_numbered_lines(spark, tmp_path):
+    register(spark)
+    (tmp_path / "p.jsonl").write_text('{"a": "é\u2028"}\n{"a": null}\n')
+    got = spark.read.format("numbered_lines").load(str(tmp_path)).select("sample_idx", F.from_json("value", "a string")["a"].alias("a")).orderBy("sample_idx").collect()
+    assert [(r["sample_idx"], r["a"]) for r in got] == [(0, "é\u2028"), (1, None)]
+
+
+def test_metadata(spark):
+    source = "import a.b, c.d as e\nfrom . import u\nfrom .v import w as x\nclass K:\n    def m(self):\n        y = 1\n        (p, q) = 1, 2\n        self.r = 3\nz: int = 0\n"
+    frame = spark.createDataFrame([(source,), ("print 'x'",), ("\ufeffx = 1",), (None,), ("",)], "s string")
+    got = [r["m"] for r in frame.select(ast_metadata("s").alias("m")).collect()]
+    assert got[0]["symbols"] == ["K", "m", "y", "z"] and got[0]["aliases"] == {"a": "a.b", "e": "c.d", "u": "u", "x": "v.w"}
+    assert [i["level"] for i in got[0]["imports"]] == [0, 0, 1, 1]
+    assert [bool(r["parse_error"]) for r in got] == [False, True, True, False, False] and not any(r["symbols"] for r in got[1:])
+
+
+def test_evaluation(spark):
+    points = spark.createDataFrame([(0, "p", "s"), (1, "p", "s")], "sample_idx long, prefix string, suffix string")
+    answers = spark.createDataFrame([(0, "m"), (1, "n")], "sample_idx long, middle string")
+    predicted = spark.createDataFrame([(0, "c", "q", None), (1, "c", None, "")], "sample_idx long, context string, prefix string, suffix string")
+    got = evaluation.eval_join(points, answers, predicted).orderBy("sample_idx").collect()
+    assert [(r["prefix"], r["suffix"]) for r in got] == [("q", "s"), ("p", "")]
+    with pytest.raises(Exception, match="do not match"):
+        evaluation.eval_join(points, answers.limit(1), predicted).collect()
+    made = evaluation.generated(points.select("sample_idx", F.col("prefix").alias("prompt")), lambda texts: [t * 2 for t in texts])
+    assert {r["generated"] for r in made.collect()} == {"pp"}
+    assert evaluation.summary(spark.createDataFrame([(0.5,), (1.0,)], "chrf double")).first()["mean_chrf"] == 0.75
