@@ -17,8 +17,9 @@ import numpy as np
 
 from codeloom.llm._shared import Cache
 
-#: Distinct chunks, words and other pre-tokens held per worker; beyond it a cache starts anew.
-CACHE = 400_000
+#: Distinct chunks, and distinct words and other pre-tokens, held per worker; beyond it a cache starts anew. The latter two serve
+#: only chunks that are new.
+CACHE, SMALL = 400_000, 150_000
 #: Marks that end a chunk as a pre-token of their own.
 MARKS = ".,;:!?%&*$#|"
 #: The word vocabulary's pre-token pattern.
@@ -79,7 +80,7 @@ class PieceEncoder:
         cuts = [self.cut(x if self.byte else x.lower()) if self._sound(x) else None for x in texts]
         tokens = self.tokens
         new = list({p for c in cuts if c for p in c if p not in tokens})
-        if len(tokens) + len(new) > CACHE:
+        if len(tokens) + len(new) > SMALL:
             tokens.clear()
             new = list({p for c in cuts if c for p in c})
         for at in range(0, len(new), 8192):
@@ -93,7 +94,7 @@ class PieceEncoder:
         cores = [x.rstrip(MARKS) for x in chunks]
         words, marks, held = self.words, self.marks, self.chunks
         new = [c for c in set(cores).difference(words) if c.isalpha() and (self.byte or c.isascii())]
-        if len(words) + len(new) > CACHE:
+        if len(words) + len(new) > SMALL:
             words.clear()
             new = [c for c in set(cores) if c.isalpha() and (self.byte or c.isascii())]
         for at in range(0, len(new), 4096):
