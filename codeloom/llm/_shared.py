@@ -76,7 +76,7 @@ def map_texts(docs: DataFrame, schema: str, make: Callable, *extra: str) -> Data
 class Cache(dict):
     """A dict that computes missing values one by one and starts anew when it is full; limit bounds its memory."""
 
-    def __init__(self, make: Callable, limit: int = 600_000):
+    def __init__(self, make: Callable, limit: int = 250_000):
         super().__init__()
         self.make, self.limit = make, limit
 
