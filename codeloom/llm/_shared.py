@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handled at once inside an Arrow batch; bounds a worker's memory.
-STEP = 1024
+#: Rows, and bytes of text, handled at once inside an Arrow batch; a single longer text is handled alone. Bounds a worker's memory.
+STEP, STEP_BYTES = 1024, 2 << 20
+#: Bytes of an Arrow batch on its way to a worker, unless the session says less; bounds the buffers outside the executor's heap.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +53,32 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to the workers in batches of about BATCH_BYTES; Spark's own limit counts rows, whatever their length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def _steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where slices of at most STEP rows and about STEP_BYTES begin, and their lengths."""
+    at = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > at and (size + n > STEP_BYTES or i - at == STEP):
+            yield at, i - at
+            at, size = i, 0
+        size += n
+    if len(texts) > at:
+        yield at, len(texts) - at
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system: workers live on from task to task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(docs: DataFrame, schema: str, make: Callable, *extra: str) -> DataFrame:
     """One pass over doc_id, text and extra columns.
 
@@ -63,13 +94,17 @@ def map_texts(docs: DataFrame, schema: str, make: Callable, *extra: str) -> Data
 
         kinds = to_arrow_schema(out)
         f = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
-                got = f(*(c.to_pylist() for c in part.columns))
-                if got is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(got[n], kinds.field(n).type, from_pandas=False) for n in names], schema=kinds)
-
+        try:
+            for batch in batches:
+                for at, n in _steps(batch.column(1)):
+                    got = f(*(c.to_pylist() for c in batch.slice(at, n).columns))
+                    if got is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array(got[n], kinds.field(n).type, from_pandas=False) for n in names], schema=kinds)
+        finally:
+            del f
+            _give_back()
+
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(run, out)
 
 
