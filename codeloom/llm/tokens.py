@@ -19,7 +19,7 @@ from codeloom.llm._shared import Cache
 
 #: Distinct chunks, and distinct words and other pre-tokens, held per worker; beyond it a cache starts anew. The latter two serve
 #: only chunks that are new.
-CACHE, SMALL = 400_000, 400_000
+CACHE, SMALL = 800_000, 800_000
 #: Marks that end a chunk as a pre-token of their own.
 MARKS = ".,;:!?%&*$#|"
 #: The word vocabulary's pre-token pattern.
