@@ -19,7 +19,7 @@ from codeloom.llm._shared import Cache
 
 #: Distinct chunks, and distinct words and other pre-tokens, held per worker; beyond it a cache starts anew. The latter two serve
 #: only chunks that are new.
-CACHE, SMALL = 800_000, 800_000
+CACHE, SMALL = 1_200_000, 800_000
 #: Marks that end a chunk as a pre-token of their own.
 MARKS = ".,;:!?%&*$#|"
 #: The word vocabulary's pre-token pattern.
@@ -100,8 +100,7 @@ class PieceEncoder:
         for at in range(0, len(new), 4096):
             words.update(zip(new[at : at + 4096], self.led(new[at : at + 4096]), strict=True))
         rest = []
-        for x, core in zip(chunks, cores, strict=True):
-            ids = words.get(core)
+        for x, core, ids in zip(chunks, cores, map(words.get, cores), strict=True):
             if ids is None:
                 if self.byte and (not x or x[0].isspace() or x[-1].isspace()):
                     held[x] = None
