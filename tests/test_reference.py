@@ -70,6 +70,27 @@ def test_packing_like_the_greedy_loop(spark):
     assert [r["chunk"] for r in got if r["included"]] == want
 
 
+def test_graph_scores_of_all_lines(spark):
+    line = pd.read_parquet(f"{SF}/lineitem.parquet", columns=["l_orderkey", "l_linenumber", "l_partkey"])
+    at = {k: set(g) for k, g in line.groupby(["l_orderkey", "l_linenumber"])["l_partkey"]}
+    edges = {(a, b) for (o, n), parts in at.items() for a in parts for b in at.get((o, n + 1), ()) if a != b}
+    out, back = {}, {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+        back.setdefault(b, set()).add(a)
+    want = {}
+    for s in pd.read_parquet(f"{SF}/part.parquet")["p_partkey"]:
+        if s % 20 == 0:
+            hops = {x: 0.65 for x in out.get(s, set()) | back.get(s, set())} | {s: 1.0}
+            for u, w in hops.items():
+                for v, x in [(v, w) for v in out.get(u, ())] + [(v, w * 0.35) for v in back.get(u, ())]:
+                    if v != s:
+                        want[s, v] = max(want.get((s, v), 0), x)
+    got = {(r["start"], r["node"]): r["score"] for r in QUERIES["graph_scores_all"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - w) < 1e-6 for k, w in want.items())
+    assert len(got) > QUERIES["graph_scores"](spark, SF).count()
+
+
 def test_graph_rejects_growth(spark):
     with pytest.raises(ValueError):
         graph.graph_scores(None, None, decay=1.5)
