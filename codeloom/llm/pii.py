@@ -51,6 +51,7 @@ _SURNAME_OF = {n: s for s, ns in SURNAMES.items() for n in ns}
 _NAME = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(_TITLE_OF, key=len, reverse=True))})\.?\x20+)?(?P<names>{_WORD}(?:\x20{_WORD})?)")
 _NAME_START = re.compile(rf"(?<!\w)(?:(?:{'|'.join(_TITLE_OF)})\.?\x20+(?=[^\W\d_])|(?:{'|'.join(_GIVEN_OF)})(?!\w))")
 _HINTS = {*_GIVEN_OF, *_TITLE_OF}
+_RUN = re.compile(r"[^\W\d_]+")
 
 
 def _keyed(key: bytes, *parts: object) -> int:
@@ -180,7 +181,7 @@ def detect(text: str) -> list[tuple[int, int, str, str, str]]:
                 elif 10 <= len(digits) <= 15 and (s[0] in "+(" or re.fullmatch(r"\d{3}[ .-]\d{3}[ .-]\d{4}", s)):
                     found.append((a, b, "phone", digits[-10:], digits[:-10]))
         taken = [(a, b) for a, b, *_ in found]
-    if not _HINTS.isdisjoint(text.replace(".", " ").replace(",", " ").split()):
+    if not _HINTS.isdisjoint(_RUN.findall(text)):  # a title or given name that _NAME_START matches is a whole run of letters
         for m in _NAME_START.finditer(text):
             n = _NAME.match(text, m.start())
             if not n:

@@ -150,6 +150,15 @@ def test_surrogates(spark, odd, none):
     assert pii.surrogates(none).count() == 0
 
 
+def test_names_beside_marks():
+    for text in ("(Mr. Smith)", '"Anna Becker" said', "Anna: hello", "Maria!", "Sarah;", "Anna-", "x/Peter", "«Анна»", "Frau  Weber's"):
+        assert [s["kind"] for s in pii.replace(text)[1]].count("name") >= 1, text
+    for hint in pii._HINTS:
+        for text in (f"({hint} Xy)", f"{hint}. Xy", f"'{hint}'", f"_{hint} Xy", f"{hint}1"):
+            if pii._NAME_START.search(text):
+                assert any(w in pii._HINTS for w in pii._RUN.findall(text))
+
+
 def test_secrets(odd, none):
     enc = secrets.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     key = "q7Xz9Kp2LmV4tR8wYb3N"
