@@ -9,7 +9,8 @@ Found are e-mail addresses, phone numbers, card numbers, IP addresses and person
   other surnames get a keyed choice of the script's surnames.
 
 In each document a surrogate that equals an entity of the text, or one already given to another entity, is replaced by the next in
-the keyed order. The same number written differently, or a name with and without given name, stays one entity.
+the keyed order. The same number written differently, or a name with and without given name, stays one entity: once a title or a
+listed given name shows a name, its parts are replaced wherever the document has them, also before 's and in capitals.
 
 Null text stays null; empty text stays empty; repeated rows get equal answers; extra columns, whatever their names, pass through.
 """
@@ -193,15 +194,60 @@ def detect(text: str) -> list[tuple[int, int, str, str, str]]:
             title = _TITLE_OF.get(n["title"] or "", "")
             if len(words) == 2 and not words[1][0].isupper():
                 words = words[:1]
-            parts = [("given", words[0]), ("surname", words[1])] if len(words) == 2 else [("given" if words[0] in _GIVEN_OF else "surname", words[0])]
-            for role, w in parts:
-                if not any(x < at + len(w) and at < y for x, y in taken) and (n["title"] or len(words) == 2 or role == "given"):
-                    found.append((at, at + len(w), "name", f"{role} {w}", title))
-                    taken.append((at, at + len(w)))
+            bare = [_bare(w) for w in words]
+            if len(words) == 2 and bare[0] != words[0]:  # "Anna's Becker": the second word is another matter
+                words, bare = words[:1], bare[:1]
+            first = "given" if len(bare) == 2 or not n["title"] or bare[0] in _GIVEN_OF else "surname"
+            for role, w, b in zip((first, "surname"), words, bare, strict=False):
+                if not any(x < at + len(b) and at < y for x, y in taken):
+                    found.append((at, at + len(b), "name", f"{role} {_one_form(b)}", title))
+                    taken.append((at, at + len(b)))
                 at += len(w) + 1
+        found += _mentions(text, found)
     return sorted(found)
 
 
+def _bare(word: str) -> str:
+    """A name without a possessive 's, and without what is joined to it in small letters ("Anna-like")."""
+    word = re.sub(r"'[sS]?$", "", word)
+    parts = re.split("([-'])", word)
+    for i in range(2, len(parts), 2):
+        if not parts[i][0].isupper():
+            return "".join(parts[: i - 1])
+    return word
+
+
+def _one_form(name: str) -> str:
+    return name.title() if len(name) > 1 and name.isupper() else name
+
+
+def _mentions(text: str, found: list[tuple[int, int, str, str, str]]) -> list[tuple[int, int, str, str, str]]:
+    """The other places of the names found in this text, also in capitals. Single letters are initials and not searched."""
+    names: dict[str, tuple[str, str]] = {}
+    for _, _, kind, entity, detail in sorted(found):
+        name = entity.split(" ", 1)[1] if kind == "name" else ""
+        if len(name) > 1:
+            names.setdefault(name, (entity, detail))
+            names.setdefault(name.upper(), (entity, detail))
+    if not names:
+        return []
+    taken = bytearray(len(text))
+    for a, b, *_ in found:
+        taken[a:b] = b"\1" * (b - a)
+    more = []
+    for name in sorted((n for n in names if not _RUN.fullmatch(n)), key=len, reverse=True):
+        more += [(m.start(), m.end(), "name", *names[name]) for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text)]
+    for m in _RUN.finditer(text):
+        if m[0] in names and not re.match(r"\w", text[m.end() : m.end() + 1]) and not re.match(r"\w", text[max(0, m.start() - 1) : m.start()]):
+            more.append((m.start(), m.end(), "name", *names[m[0]]))
+    out = []
+    for x in more:
+        if not any(taken[x[0] : x[1]]):
+            taken[x[0] : x[1]] = b"\1" * (x[1] - x[0])
+            out.append(x)
+    return out
+
+
 def _numbers(s: str, at: int) -> list[tuple[int, int]]:
     """A run of digits and single marks as the numbers in it: groups that are cards or phones for themselves are cut apart."""
     cut = [*re.finditer(r"\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d){9,12}(?!\d)|(?<!\d)\d{13,19}(?!\d)|(?<!\d)\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?!\d)|(?<!\d)\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)", s)]

@@ -159,6 +159,22 @@ def test_names_beside_marks():
                 assert any(w in pii._HINTS for w in pii._RUN.findall(text))
 
 
+def test_later_mentions_of_a_name():
+    def of(text, name):
+        new, spans = pii.replace(text)
+        assert not re.search(rf"\b{name}\b", new, re.IGNORECASE), new
+        return [s["surrogate"] for s in spans if text[s["start"] : s["end"]].lower() == name.lower()]
+
+    text = "Zoltan spoke. Anna Becker came. Becker said that Becker's car and BECKER are (Becker). Dr. Zoltan Kiss-Nagy left; Kiss-Nagy's dog, Zoltan's cat."
+    for name, n in (("Becker", 5), ("Zoltan", 3), ("Kiss-Nagy", 2)):
+        got = of(text, name)
+        assert len(got) == n and len({x.lower() for x in got}) == 1, name
+    assert "'s car" in pii.replace(text)[0] and len(of("Peter's car and Peter", "Peter")) == 2
+    assert len(of("Mr. Smith's car", "Smith")) == 1 and len(of("Peter-Paul and Anna-like", "Peter-Paul")) == 1
+    assert pii.replace("Mr. A came. A dog.")[0].endswith(" came. A dog.")  # an initial is not searched again
+    assert "Beckers, Becker1" in pii.replace("Anna Becker and Beckers, Becker1")[0]
+
+
 def test_secrets(odd, none):
     enc = secrets.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     key = "q7Xz9Kp2LmV4tR8wYb3N"
