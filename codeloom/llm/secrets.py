@@ -1,10 +1,12 @@
 """Operator 9: secrets by patterns and by token efficiency.
 
 Three base patterns find assignments, access keys and hexadecimal strings. The method adds random-looking strings: candidates are
-runs of [A-Za-z0-9+/_=-] of LEAST characters or more with letters and digits, and one is reported when a tiktoken vocabulary needs
+runs of [A-Za-z0-9+/_=-] of LEAST characters or more with letters, and one is reported when a tiktoken vocabulary needs
 so many tokens that it yields fewer than RATIO characters a token, as text and
-identifiers do not. Left out are what overlaps a base span, digests of known lengths,
-UUIDs, time stamps, and identifiers (words, with numbers, joined by marks). Base spans always stay.
+identifiers do not. Where the whole run yields more, what lies between its marks /, =, _ and - is held against RATIO as well, alone
+or in neighbouring parts that make LEAST characters, so that readable text beside a key does not hide it. Left out are what overlaps
+a base span, digests of known lengths, UUIDs, time stamps, and identifiers (words, with numbers, joined by marks). Base spans always
+stay.
 
 Null text counts as empty: no spans, spans '' and the hash of ''. Positions are code points, ends exclusive. Repeated rows get equal
 answers; extra columns are not read.
@@ -30,6 +32,7 @@ DIGEST = re.compile(r"[0-9a-fA-F]+")
 DIGESTS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 TIME = re.compile(r"[0-9]{4}-?[0-9]{2}-?[0-9]{2}([T_-]?[0-9-]*Z?)?")
+PART = re.compile(r"[A-Za-z0-9+]+")
 IDENTIFIER = re.compile(r"([A-Za-z]{3,}[0-9]{0,4}|[0-9]{1,4})([_/=+-]+([A-Za-z]{3,}[0-9]{0,4}|[0-9]{1,4}))+")
 
 
@@ -65,17 +68,53 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def poor(s: str, enc) -> bool:
+    return any(c.isalpha() for c in s) and len(s) / len(enc.encode_ordinary(s)) < RATIO
+
+
+def random_parts(run: str, enc) -> list[tuple[int, int]]:
+    """The run if it is random-looking, or else its parts, or neighbouring parts together, that are."""
+    if not excluded(run) and poor(run, enc):
+        return [(0, len(run))]
+    if (len(run) in DIGESTS and DIGEST.fullmatch(run)) or TIME.fullmatch(run):
+        return []
+    known = [m.span() for m in UUID.finditer(run)]
+    parts = [m.span() for m in PART.finditer(run) if not any(x < m.end() and m.start() < y for x, y in known)]
+    parts = [(a, b) for a, b in parts if not (b - a in DIGESTS and DIGEST.fullmatch(run[a:b]))]
+    found: list[list[int]] = []  # numbers of first and last parts
+    end = 0
+    for i in range(len(parts)):
+        end = max(end, i)
+        while end + 1 < len(parts) and parts[end][1] - parts[i][0] < LEAST and PART.search(run, parts[end][1]).start() == parts[end + 1][0]:
+            end += 1
+        a, b = parts[i][0], parts[end][1]
+        if b - a >= LEAST and not excluded(run[a:b]) and poor(run[a:b], enc):
+            if found and i <= found[-1][1]:
+                found[-1][1] = end
+            else:
+                found.append([i, end])
+    out = []
+    for i, j in found:
+        while i < j and parts[j][1] - parts[i + 1][0] >= LEAST and not poor(run[slice(*parts[i])], enc):
+            i += 1
+        while i < j and parts[j - 1][1] - parts[i][0] >= LEAST and not poor(run[slice(*parts[j])], enc):
+            j -= 1
+        while j + 1 < len(parts) and parts[j + 1][0] == parts[j][1] + 1 and poor(run[slice(*parts[j + 1])], enc):
+            j += 1
+        if not out or parts[i][0] >= out[-1][1]:
+            out.append((parts[i][0], parts[j][1]))
+    return out
+
+
 def spans(text: str, enc) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and all spans."""
     base = base_spans(text)
     more = []
     for m in CANDIDATE.finditer(text):
-        s = m[0]
         a, b = m.span()
-        if s.isdigit() or s.isalpha() or not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s) or excluded(s) or any(x < b and a < y for x, _, y in base):
-            continue
-        if len(s) / len(enc.encode_ordinary(s)) < RATIO:
-            more.append((a, 3, b))
+        for x, y in random_parts(m[0], enc):
+            if not any(p < a + y and a + x < q for p, _, q in base):
+                more.append((a + x, 3, a + y))
     return base, sorted(base + more)
 
 

@@ -186,6 +186,20 @@ def test_secrets(odd, none):
     assert secrets.scan(none, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
+def test_random_parts_of_runs():
+    enc = secrets.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(4)
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for before in ("", "database_connection_credential=", "/services/production/webhooks/"):
+        for kinds in (letters, letters + digits):
+            for _ in range(300):
+                key = "".join(rng.choices(kinds, k=24))
+                text = f"see {before}{key} end"
+                assert any(k == 3 and a <= text.index(key) and b >= text.index(key) + 24 for a, k, b in secrets.spans(text, enc)[1]), text
+    for text in ("internationalization_of_things", "getUserAuthenticationTokenProvider", "/usr/local/share/applications", "/services/production/webhooks/123e4567-e89b-12d3-a456-426614174000", "-" * 30, "Geschwindigkeitsbegrenzung"):
+        assert not secrets.spans(text, enc)[1], text
+
+
 def test_rules(spark, odd, none):
     def brute(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
