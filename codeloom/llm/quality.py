@@ -5,7 +5,8 @@ hashed text features and ordered thresholds give P(grade > k) = 1 / (1 + exp(thr
 grade and the tail probability by which documents are selected.
 
 Features are the words' letters in lower case, the words' marks and shapes (capitals, digits), and buckets of the shares of
-repeated words, marks and capitals, all hashed to 2**16; a document's vector holds 1 + log(count), scaled to length 1.
+repeated words, marks and capitals, all hashed to 2**16; a document's vector holds 1 + log(count), scaled to length 1. Words that
+the sample has mostly in toxic documents are also counted as such, without scaling, so a long text does not dilute a few of them.
 The model is fitted on a bounded sample (`sample` labelled documents chosen by a hash of doc_id); every document is scored.
 
 Null text counts as empty. Empty or blank text has no features and gets the lowest grade: expected grade 0, tail 0, not kept.
@@ -30,6 +31,10 @@ GRADES = 3
 BUCKETS = np.array([0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.97])
 
 
+#: A strong feature is in STRONG toxic sample documents or more, and in ODDS times the share of them as of grade-2 documents.
+STRONG, ODDS = 10, 10
+
+
 def slot(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) >> (32 - BITS)
 
@@ -75,10 +80,30 @@ class Features:
         return np.concatenate([slots, extra]).astype(np.int64), np.concatenate([values, np.full(len(extra), 0.3)])
 
 
+COUNTS = np.array([slot(f"strong {k}") for k in range(4)])
+
+
+def strong_slots(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each slot, whether it is a strong feature."""
+    held, n = np.zeros((GRADES, SIZE)), np.zeros(GRADES)
+    for grade, i, _ in rows:
+        held[grade, np.unique(i)] += 1
+        n[grade] += 1
+    share = (held + 0.5) / (n[:, None] + 1)
+    return (held[1] >= STRONG) & (share[1] >= ODDS * share[2])
+
+
+def with_strong(strong: np.ndarray, i: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sparse row with the number of its strong words (up to 3) as a feature of value 1."""
+    words = i[: max(0, len(i) - 4)]  # the last four are the shares
+    return np.append(i, COUNTS[min(3, int(strong[words].sum()))]), np.append(x, 1.0)
+
+
 @dataclass
 class Ordinal:
     weights: np.ndarray
     thresholds: np.ndarray  # rising
+    strong: np.ndarray  # by slot
 
     def above(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for each score (rows) and k."""
@@ -87,6 +112,8 @@ class Ordinal:
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 8, rate: float = 0.4, penalty: float = 1e-6) -> Ordinal:
     """AdaGrad on the likelihood of the grades; the gap between thresholds is an exponential, so their order holds."""
+    strong = strong_slots(rows)
+    rows = [(grade, *with_strong(strong, i, x)) for grade, i, x in rows]
     w, n = np.zeros(SIZE), np.full(SIZE, 1e-2)
     shape, m = np.array([-1.0, 0.0]), np.full(2, 1e-2)  # lowest threshold, log of the gap
     for epoch in range(epochs):
@@ -107,7 +134,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 8, rate:
             h = -np.array([dt.sum(), dt[1] * np.exp(shape[1])]) / p
             m += h * h
             shape -= 0.1 * h / np.sqrt(m)
-    return Ordinal(w, np.array([shape[0], shape[0] + np.exp(shape[1])]))
+    return Ordinal(w, np.array([shape[0], shape[0] + np.exp(shape[1])]), strong)
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -148,7 +175,7 @@ def score(docs: DataFrame, model: Ordinal | None, least: float = 0.5, grade: int
             if model is None:
                 above = np.ones((len(got), GRADES - 1))
             else:
-                above = model.above(np.array([model.weights[i] @ x for i, x in got]))
+                above = model.above(np.array([model.weights[i] @ x for i, x in (with_strong(model.strong, *r) for r in got)]))
             above = np.where(some[:, None], above, 0.0)
             tail = above[:, grade - 1]
             return {"doc_id": doc_ids, "expected_grade": above.sum(1), "tail": tail, "kept": tail >= least}

@@ -237,3 +237,22 @@ def test_quality_and_language(spark, odd, none):
     assert sum(r["lang"] == r["lang_pred"] for r in found) / len(found) >= 0.95
     empty = langid.fit(none)
     assert {r["lang_pred"] for r in langid.predict(odd, empty).collect()} == {"und"}
+
+
+def test_toxic_words_in_long_texts():
+    rng, features = random.Random(6), quality.Features()
+    insults = ["scum", "idiot", "trash", "moron", "clown"]
+
+    def text(grade):
+        words = [f"w{int(rng.paretovariate(0.7)) % 3000}x" for _ in range(rng.randint(50, 1500))]
+        for k in range(2 * (grade == 1)):
+            words[k] = rng.choice(insults)
+        return " ".join(words) if grade else " ".join(rng.choices(["$$", "##", "zz"], k=80))
+
+    grades = [rng.choice([0, 1, 2, 2, 2, 2, 2]) for _ in range(1400)]
+    rows = [(g, *features(text(g))) for g in grades]
+    model = quality.train(rows[:1000])
+    tail = [model.above(np.array([model.weights[i] @ x]))[0, 1] for _, *r in rows[1000:] for i, x in [quality.with_strong(model.strong, *r)]]
+    kept = collections.Counter(g for g, t in zip(grades[1000:], tail, strict=True) if t >= 0.5)
+    held = collections.Counter(grades[1000:])
+    assert kept[1] <= 0.1 * held[1] and kept[2] >= 0.95 * held[2]
