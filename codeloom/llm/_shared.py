@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -79,11 +80,11 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_texts(docs: DataFrame, schema: str, make: Callable, *extra: str) -> DataFrame:
+def map_texts(docs: DataFrame, schema: str, make: Callable, *extra: str, arrow: bool = False) -> DataFrame:
     """One pass over doc_id, text and extra columns.
 
-    make() runs once per task and gives f(columns) -> dict of lists or arrays by output column; columns are Python lists,
-    null texts stay None. Other columns of docs are not read.
+    make() runs once per task and gives f(columns) -> dict of lists or arrays by output column; columns are Python lists (Arrow
+    arrays if arrow), null texts stay None. Other columns of docs are not read.
     """
     rows = docs.select("doc_id", "text", *extra)
     out = docs.sparkSession.createDataFrame([], schema).schema
@@ -97,9 +98,10 @@ def map_texts(docs: DataFrame, schema: str, make: Callable, *extra: str) -> Data
         try:
             for batch in batches:
                 for at, n in _steps(batch.column(1)):
-                    got = f(*(c.to_pylist() for c in batch.slice(at, n).columns))
+                    columns = batch.slice(at, n).columns
+                    got = f(*(columns if arrow else [c.to_pylist() for c in columns]))
                     if got is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array(got[n], kinds.field(n).type, from_pandas=False) for n in names], schema=kinds)
+                        yield pa.RecordBatch.from_arrays([got[n].cast(kinds.field(n).type) if isinstance(got[n], pa.Array) else pa.array(got[n], kinds.field(n).type, from_pandas=False) for n in names], schema=kinds)
         finally:
             del f
             _give_back()
@@ -108,6 +110,23 @@ def map_texts(docs: DataFrame, schema: str, make: Callable, *extra: str) -> Data
     return rows.mapInArrow(run, out)
 
 
+def binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary column without copying: value i is data[bounds[i] : bounds[i + 1]]."""
+    places = (bounds * data.itemsize).astype(np.int32 if len(data) * data.itemsize < 1 << 31 else np.int64)
+    kind = pa.binary() if places.dtype == np.int32 else pa.large_binary()
+    return pa.Array.from_buffers(kind, len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def values(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column without nulls as numbers of this kind, all values one after the other, and the bounds of each."""
+    wide = pa.types.is_large_binary(column.type)
+    _, places, body = column.buffers()
+    bounds = np.frombuffer(places, np.int64 if wide else np.int32, len(column) + 1, column.offset * (8 if wide else 4)).astype(np.int64)
+    size = np.dtype(kind).itemsize
+    raw = body[int(bounds[0]) : int(bounds[-1])] if body is not None else b""
+    return np.frombuffer(raw, kind), (bounds - bounds[0]) // size
+
+
 class Cache(dict):
     """A dict that computes missing values one by one and starts anew when it is full; limit bounds its memory."""
 

@@ -10,14 +10,14 @@ Null text counts as empty: no ids, empty decoded text. Extra columns are not rea
 from __future__ import annotations
 
 import json
-from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from codeloom.llm._shared import map_texts
-from codeloom.llm.tokens import PieceEncoder
+from codeloom.llm.tokens import PieceEncoder, ranges
 
 #: Pre-tokens of more symbols are merged one by one.
 WIDE = 64
@@ -153,45 +153,65 @@ class TreeEncoder(PieceEncoder):
     """Cuts texts as PieceEncoder does; pre-tokens are merged by segment trees, not by the library."""
 
     def load(self, path: str) -> None:
+        import public_tokenizers
         import regex
 
         self.vocabulary = Vocabulary(path)
-        self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.vocabulary.special)) + ")").split
+        self.size, self.special = self.vocabulary.size, [*self.vocabulary.special]
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
 
-    def single(self, tokens: list[str]) -> list[bytes]:
-        out, vocabulary = [b""] * len(tokens), self.vocabulary
+    def single(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, one after the other, and how many each has."""
+        vocabulary = self.vocabulary
         raw = [t.encode() for t in tokens]
-        sizes = np.array([len(x) for x in raw], np.int64)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        got, count = [], np.zeros(len(raw), np.int64)
         for width in (2, 4, 8, 16, 32, WIDE):
             mine = np.flatnonzero((sizes <= width) & (sizes > (width // 2 if width > 2 else 0)))
             for at in range(0, mine.size, 16384):
                 part = mine[at : at + 16384]
-                table = np.frombuffer(b"".join(raw[i].ljust(width, b"\0") for i in part), np.uint8).reshape(-1, width)
+                table = np.frombuffer(b"".join([raw[i].ljust(width, b"\0") for i in part.tolist()]), np.uint8).reshape(-1, width)
                 merged = merge_rows(vocabulary, vocabulary.byte_ids[table], sizes[part])
                 keep = (merged >= 0) & (np.arange(width) < sizes[part][:, None])
-                ids, ends = merged[keep].astype("<u4").tobytes(), np.cumsum(keep.sum(1)) * 4
-                start = 0
-                for i, end in zip(part.tolist(), ends.tolist(), strict=True):
-                    out[i] = ids[start:end]
-                    start = end
+                count[part] = keep.sum(1)
+                got.append((part, merged[keep].astype(np.uint32)))
         for i in np.flatnonzero(sizes > WIDE).tolist():
-            out[i] = array("I", merge_long(vocabulary, vocabulary.byte_ids[np.frombuffer(raw[i], np.uint8)].tolist())).tobytes()
-        return out
-
-    def led(self, words: list[str]) -> list[bytes]:
-        return self.single([" " + x for x in words])
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        out = []
+            ids = np.array(merge_long(vocabulary, vocabulary.byte_ids[np.frombuffer(raw[i], np.uint8)].tolist()), np.uint32)
+            count[i] = len(ids)
+            got.append((np.array([i]), ids))
+        out, before = np.zeros(int(count.sum()), np.uint32), np.cumsum(count) - count
+        for part, ids in got:
+            out[ranges(before[part], count[part])] = ids
+        return out, count
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts by way of their pre-tokens, each distinct one merged once; special tokens have their own ids."""
+        special, tokens, held = self.vocabulary.special, {}, []
         for text in texts:
-            ids = []
-            for part in self.at_special(text) if self.vocabulary.special else [text]:
-                if part in self.vocabulary.special:
-                    ids.append(array("I", [self.vocabulary.special[part]]).tobytes())
-                elif part:
-                    ids += self.single(self.cut(part))
-            out.append(b"".join(ids))
-        return out
+            mine = []
+            for part in self.at_special(text) if special and "<|" in text else [text]:
+                mine += [part] if part in special else self.cut(part)
+            held.append([tokens.setdefault(t, len(tokens)) for t in mine])
+        ids, count = self.single([t for t in tokens if t not in special])
+        if any(t in special for t in tokens):
+            plain = np.array([t not in special for t in tokens])
+            every = np.ones(len(tokens), np.int64)
+            every[plain] = count
+            out = np.zeros(int(every.sum()), np.uint32)
+            first = np.cumsum(every) - every
+            out[ranges(first[plain], count)] = ids
+            out[first[~plain]] = [special[t] for t in tokens if t in special]
+            ids, count = out, every
+        sizes = np.fromiter(map(len, held), np.int64, len(held))
+        of = np.fromiter((i for x in held for i in x), np.int64, int(sizes.sum()))
+        first = np.cumsum(count) - count
+        upto = np.append(0, np.cumsum(count[of]))
+        ends = np.cumsum(sizes)
+        return ids[ranges(first[of], count[of])], upto[ends] - upto[ends - sizes]
+
+    def learned(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.whole(pieces)
 
     def decode(self, ids: list[int]) -> str:
         """Token bytes joined; bytes that are no UTF-8 become U+FFFD, as in the library."""
@@ -213,10 +233,17 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFram
         decimal = e.vocabulary.decimal.__getitem__
 
         def f(doc_ids, texts):
-            ids = [np.frombuffer(x, "<u4").tolist() for x in e.encode([t or "" for t in texts])]
-            out = {"doc_id": doc_ids, "n_tokens": [len(x) for x in ids], "ids_sha256": [hashlib.sha256(",".join(map(decimal, x)).encode()).hexdigest() for x in ids], "decoded": [e.decode(x) for x in ids]}
-            return out | ({"ids": ids} if with_ids else {})
+            ids, bounds = e.encode_column(texts)
+            out = {"doc_id": doc_ids, "n_tokens": pa.array(np.diff(bounds)), "ids_sha256": [], "decoded": []}
+            held = ids.tolist()
+            for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+                mine = held[a:b]
+                out["ids_sha256"].append(hashlib.sha256(",".join(map(decimal, mine)).encode()).hexdigest())
+                out["decoded"].append(e.decode(mine))
+            if with_ids:
+                out["ids"] = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            return out
 
         return f
 
-    return map_texts(docs, "doc_id long, n_tokens long, ids_sha256 string, decoded string" + ", ids array<int>" * with_ids, make)
+    return map_texts(docs, "doc_id long, n_tokens long, ids_sha256 string, decoded string" + ", ids array<int>" * with_ids, make, arrow=True)

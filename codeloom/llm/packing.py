@@ -24,11 +24,12 @@ from collections import deque
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm._shared import map_texts, written
+from codeloom.llm._shared import binaries, map_texts, written
 
 CAPACITY, END, GROUPS = 4096, 1, 36
 
@@ -40,26 +41,36 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     def make():
         from pyspark import TaskContext
 
-        from codeloom.llm.tokens import encoder
+        from codeloom.llm.tokens import encoder, ranges
 
-        e, tail, task = encoder(path, "word"), np.array([end], "<u4").tobytes(), TaskContext.get().partitionId()
-        seen = np.zeros(capacity + 1, np.int64).tolist()
+        e, task = encoder(path, "word"), TaskContext.get().partitionId()
+        seen = np.zeros(capacity + 1, np.int64)
 
         def f(doc_ids, texts):
-            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids", "task", "nth")}
-            for doc, ids in zip(doc_ids, e.encode([t or "" for t in texts]), strict=True):
-                ids += tail
-                for i, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    n = len(part) // 4
-                    for k, v in zip(out, (doc, i, at // 4, n, part, task, seen[n]), strict=True):
-                        out[k].append(v)
-                    seen[n] += 1
-            return out
+            ids, ends = e.encode_column(texts)
+            ends = ends + np.arange(len(ends))  # each text has the end id, too
+            every = np.full(int(ends[-1]), end, "<u4")
+            own = np.ones(len(every), bool)
+            own[ends[1:] - 1] = False
+            every[own] = ids
+            sizes = np.diff(ends)
+            cut = -(-sizes // capacity)
+            piece = ranges(np.zeros(len(cut), np.int64), cut)
+            start = piece * capacity
+            length = np.minimum(capacity, np.repeat(sizes, cut) - start)
+            # the number of each piece among those of its length, here and before in this task
+            order = np.argsort(length, kind="stable")
+            values, count = np.unique(length, return_counts=True)
+            nth = np.empty(len(length), np.int64)
+            nth[order] = ranges(seen[values], count)
+            seen[values] += count
+            named = doc_ids.take(pa.array(np.repeat(np.arange(len(cut)), cut)))
+            bounds = np.append(np.repeat(ends[:-1], cut) + start, ends[-1])
+            return {"doc_id": named, "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start), "length": pa.array(length), "ids": binaries(every, bounds), "task": np.full(len(length), task, np.int32), "nth": pa.array(nth)}
 
         return f
 
-    return map_texts(docs, "doc_id long, piece int, start long, length long, ids binary, task int, nth long", make)
+    return map_texts(docs, "doc_id long, piece int, start long, length long, ids binary, task int, nth long", make, arrow=True)
 
 
 def solve(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -205,8 +216,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = kept.join(base, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
 
     def place(batches):
-        import pyarrow as pa
-
         for b in batches:
             where, offset = assign(made, b.column("length").to_numpy(), b.column("rank").to_numpy())
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(where), pa.array(offset)], [*b.schema.names[:5], "sequence_id", "offset"])

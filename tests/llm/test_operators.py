@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from codeloom.llm import bpe, langid, media, neardup, packing, pfor, pii, quality, rules, secrets
+from codeloom.llm import bpe, langid, media, neardup, packing, pfor, pii, quality, rules, secrets, tokens
 from codeloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -72,6 +72,57 @@ def test_bpe(odd, none):
     assert bpe.encode_decode(none, BYTE).count() == 0
 
 
+BITS = ["a", "Bc", "don't", "'s", "'S", "'ll", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\x1f", "\xa0", "\u2003", "\u3000", "\u0085", "\u2028", "\u1680", "é", "e\u0301", "İ", "Σ", "ΑΣ ", "ß", "日本", "😀", "12", "3.14", "٣", "ⅷ", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "<", ">", ".", ",", "...", "--", "_", "$", "'", '"', "(", ")", "=", "≠", "K", "ﬁ", "\x00", "\x7f", "\u200b", "\ufeff", "x" * 70, "x" * 120, "ab1cd2", "U.S.A.", "\u0301", "1\u20e3", "\u212b"]
+
+
+@pytest.mark.parametrize("path, kind", [(BYTE, "byte"), (WORD, "word"), (BYTE, "tree")])
+def test_odd_texts_like_the_library(path, kind):
+    rng, t = random.Random(5), Tokenizer.from_file(path)
+    e = bpe.tree_encoder(path) if kind == "tree" else tokens.PieceEncoder(path, kind)
+    for _ in range(8):
+        some = ["".join(rng.choice(BITS) for _ in range(rng.randint(0, 14))) for _ in range(500)]
+        for text, got in zip(some, e.encode(some), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_full_table_starts_anew():
+    e, t = tokens.PieceEncoder(BYTE, "byte"), Tokenizer.from_file(BYTE)
+    e.table = tokens.Table(np.uint16, slots=1 << 9, pool=1 << 12)
+    rng = random.Random(2)
+    for _ in range(30):
+        some = [" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(2)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(some)] == [t.encode(x, add_special_tokens=False).ids for x in some]
+
+
+def test_very_long_texts():
+    rng, t, w = random.Random(8), Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    some = ["".join(rng.choices("abc", k=200_000)), " ".join(f"w{rng.randrange(9999)}" for _ in range(150_000)), "\n" * 100_000]
+    for path, kind, library in ((BYTE, "byte", t), (WORD, "word", w), (BYTE, "tree", t)):
+        e = bpe.tree_encoder(path) if kind == "tree" else tokens.encoder(path, kind)
+        for text, got in zip(some, e.encode(some), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_token_files_of_several_shards(spark):
+    rows = [(None, "no id"), (-(1 << 63), "least"), (None, ""), *((i % 700, f"text {i} " * (i % 9)) for i in range(900))]
+    docs, t = spark.createDataFrame(rows, "doc_id long, text string"), Tokenizer.from_file(BYTE)
+    folder = pfor.qualified(spark, pfor.new_path(spark, "tokens"))
+    manifest = pfor.write_shards(docs, BYTE, folder, size=4096)
+    got = pfor.read_shards(docs, folder, manifest).orderBy("start").collect()
+    assert len(manifest) > 3 and len(got) == len(rows) and [r["doc_id"] for r in got[:3]] == [None, None, -(1 << 63)]
+    at, want = 0, collections.Counter((d, tuple([*t.encode(x, add_special_tokens=False).ids, 2])) for d, x in rows)
+    for a, b in zip(got, got[1:]):
+        assert b["doc_id"] is None or a["doc_id"] is None or a["doc_id"] <= b["doc_id"]
+    for r in got:
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert r["start"] == at
+        at += len(ids)
+        want[r["doc_id"], tuple(ids)] -= 1
+    assert not any(want.values())
+    with pytest.raises(Exception, match="ftp|FileSystem"):
+        pfor.qualified(spark, "ftp://host/x")
+
+
 def test_token_files(odd, none):
     t = Tokenizer.from_file(BYTE)
     at = 0
