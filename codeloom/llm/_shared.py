@@ -110,6 +110,35 @@ def map_texts(docs: DataFrame, schema: str, make: Callable, *extra: str, arrow:
     return rows.mapInArrow(run, out)
 
 
+def map_slices(docs: DataFrame, schema, f: Callable, place: int) -> DataFrame:
+    """f(slice) -> record batch, over slices of all columns, bounded by rows and by bytes of the text in column `place`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in batches:
+                for at, n in _steps(batch.column(place)):
+                    yield f(batch.slice(at, n))
+        finally:
+            _give_back()
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, schema)
+
+
+def selected(docs: DataFrame, make: Callable) -> DataFrame:
+    """The rows of docs, with all their columns, that f = make() (once per task) keeps: f(texts) -> booleans. Each row is judged by
+    itself, so null and repeated doc_ids are no matter, and nothing is shuffled."""
+    names, place = [f"c{i}" for i in range(len(docs.columns))], docs.columns.index("text")
+    plain, held = docs.toDF(*names), []
+
+    def keep(part: pa.RecordBatch) -> pa.RecordBatch:
+        if not held:
+            held.append(make())
+        return part.filter(pa.array(held[0](part.column(place).to_pylist()), pa.bool_()))
+
+    return map_slices(plain, plain.schema, keep, place).toDF(*docs.columns)
+
+
 def binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """A binary column without copying: value i is data[bounds[i] : bounds[i + 1]]."""
     places = (bounds * data.itemsize).astype(np.int32 if len(data) * data.itemsize < 1 << 31 else np.int64)

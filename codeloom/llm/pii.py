@@ -19,12 +19,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.llm._shared import map_slices
+
 KEY = b"codeloom surrogate key 1"
 KINDS = ("email", "phone", "card", "ip", "name")
 
@@ -304,39 +306,27 @@ def replace(text: str, key: bytes = KEY) -> tuple[str, list[dict]]:
     return "".join([*out, text[at:]]), spans
 
 
-def _run(make_row: Callable, docs: DataFrame, extra: str) -> DataFrame:
-    """Passes all columns through and adds or replaces columns."""
-    import pyarrow as pa
-
-    schema = T.StructType([*docs.schema.fields, *docs.sparkSession.createDataFrame([], extra).schema.fields])
-    place = docs.columns.index("text")
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    new = schema.fields[len(docs.columns) :]
+def surrogates(docs: DataFrame, key: bytes = KEY, spans: str | None = "pii_spans") -> DataFrame:
+    """docs with text replaced and, unless spans is None, a column of that name at the end: array of kind, start, end in the
+    original text, surrogate. A column of docs that has this name is refused, as two could not be told apart."""
+    if spans in docs.columns:
+        raise ValueError(f"the documents have a column {spans}: give spans another name, or None")
+    names, place = [f"c{i}" for i in range(len(docs.columns))], docs.columns.index("text")
+    plain = docs.toDF(*names)
+    found = "array<struct<kind: string, start: long, end: long, surrogate: string>>"
+    schema = T.StructType([*plain.schema.fields, *docs.sparkSession.createDataFrame([], f"found {found}").schema.fields][: len(names) + (spans is not None)])
 
-    def run(batches):
+    def replaced(part):
         from pyspark.sql.pandas.types import to_arrow_type
 
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                texts, *more = make_row(part.column(place).to_pylist())
-                columns = list(part.columns)
-                columns[place] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v, to_arrow_type(f.dataType)) for v, f in zip(more, new, strict=True))], [*names, *(f.name for f in new)])
-
-    inner = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(names, schema.fields, strict=False)] + new)
-    return docs.toDF(*names).mapInArrow(run, inner)
-
-
-def surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """docs with text replaced, and pii_spans (array of kind, start, end in the original text, surrogate) at the end."""
-
-    def rows(texts):
-        got = [(None, []) if t is None else replace(t, key) for t in texts]
-        return [t for t, _ in got], [s for _, s in got]
+        got = [(None, []) if t is None else replace(t, key) for t in part.column(place).to_pylist()]
+        columns = list(part.columns)
+        columns[place] = pa.array([t for t, _ in got], pa.string())
+        if spans is not None:
+            columns.append(pa.array([s for _, s in got], to_arrow_type(schema["found"].dataType)))
+        return pa.RecordBatch.from_arrays(columns, schema.names)
 
-    out = _run(rows, docs, "pii_spans array<struct<kind: string, start: long, end: long, surrogate: string>>")
-    return out.toDF(*docs.columns, "pii_spans")
+    return map_slices(plain, schema, replaced, place).toDF(*docs.columns, *[spans] * (spans is not None))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ repeated words, marks and capitals, all hashed to 2**16; a document's vector hol
 the sample has mostly in toxic documents are also counted as such, without scaling, so a long text does not dilute a few of them.
 The model is fitted on a bounded sample (`sample` labelled documents chosen by a hash of doc_id); every document is scored.
 
-Null text counts as empty. Empty or blank text has no features and gets the lowest grade: expected grade 0, tail 0, not kept.
+Ties: a tail equal to the threshold is kept; labels of equal hash are taken in the order of doc_id. A text of any length is read
+whole, word by word. No documents give no rows, and no model where none is labelled. Null text counts as empty. Empty or blank text has no features and gets the lowest grade: expected grade 0, tail 0, not kept.
 Labels with null quality are skipped, null toxic counts as 0, several labels of one document count as its lowest grade. Without
 labels every document with a word is kept (expected grade 2, tail 1). Repeated rows get equal answers; extra columns are not read.
 """
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._shared import Cache, map_texts
+from codeloom.llm._shared import Cache, map_texts, selected
 
 BITS = 16
 SIZE = 1 << BITS
@@ -163,23 +164,43 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Ordinal | N
     return train(ready) if ready else None
 
 
+def scorer(model: Ordinal | None):
+    """f(texts) -> P(grade > k) of each text (rows) and k."""
+    features = Features()
+
+    def f(texts: list[str | None]) -> np.ndarray:
+        got = [features(t or "") for t in texts]
+        some = np.array([len(i) > 0 for i, _ in got], bool)
+        if model is None:
+            above = np.ones((len(got), GRADES - 1))
+        else:
+            above = model.above(np.array([model.weights[i] @ x for i, x in (with_strong(model.strong, *r) for r in got)]))
+        return np.where(some[:, None], above, 0.0)
+
+    return f
+
+
 def score(docs: DataFrame, model: Ordinal | None, least: float = 0.5, grade: int = 2) -> DataFrame:
     """doc_id, expected_grade, tail (P(grade >= `grade`)), kept (tail >= least)."""
 
     def make():
-        features = Features()
+        above_of = scorer(model)
 
         def f(doc_ids, texts):
-            got = [features(t or "") for t in texts]
-            some = np.array([len(i) > 0 for i, _ in got], bool)
-            if model is None:
-                above = np.ones((len(got), GRADES - 1))
-            else:
-                above = model.above(np.array([model.weights[i] @ x for i, x in (with_strong(model.strong, *r) for r in got)]))
-            above = np.where(some[:, None], above, 0.0)
+            above = above_of(texts)
             tail = above[:, grade - 1]
             return {"doc_id": doc_ids, "expected_grade": above.sum(1), "tail": tail, "kept": tail >= least}
 
         return f
 
     return map_texts(docs, "doc_id long, expected_grade double, tail double, kept boolean", make)
+
+
+def select(docs: DataFrame, model: Ordinal | None, least: float = 0.5, grade: int = 2) -> DataFrame:
+    """The rows of docs that score() keeps, with all their columns."""
+
+    def make():
+        above_of = scorer(model)
+        return lambda texts: above_of(texts)[:, grade - 1] >= least
+
+    return selected(docs, make)

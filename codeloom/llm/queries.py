@@ -61,5 +61,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_quality_ordinal, op2_language_id, op3_best_fit_packing, op4_bpe_segment_tree, op5_media_columns, op6_minhash_bottom_k, op7_token_files, op8_pii_surrogates, op9_secret_scan, op10_quality_rules)
 QUERIES = {f.__name__: f for f in _ALL}
-#: None: trained models, byte formats, tokenizers and components are beyond SQL; tests hold these against brute force.
-SQL: dict[str, str] = {}
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Trained models, byte formats and tokenizers are beyond SQL; tests hold the other queries against brute force.
+SQL: dict[str, str] = {
+    "op6_minhash_bottom_k": rf"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM words),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS v FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b USING (v) WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(s) AS n_shingles, component_id, component_id = doc_id AS kept FROM sets JOIN least USING (doc_id)""",
+}

@@ -8,20 +8,23 @@ are flattened into arrays (feature, cut, left, right, value), and many documents
 The base rule stands before the trees: fewer than 10 words, or more than a fifth of the words in five-word windows that occur
 twice, fails. The trees are fitted on a bounded sample (`sample` labelled documents by a hash of doc_id); all documents are scored.
 
-Null text has no words and fails the base rule, as do empty and blank texts. Labels with null quality are skipped; without labels
-the base rule alone decides. Repeated rows get equal answers; extra columns are not read.
+Ties: a probability equal to the threshold is kept; labels of equal hash are taken in the order of doc_id; a value equal to a cut
+goes left. A text of any length is measured whole. No documents give no rows. Null text has no words and fails the base rule, as do empty and blank texts. Labels with null quality are skipped; without labels
+or with labels of one
+quality alone (which gives a warning) the base rule alone decides. Repeated rows get equal answers; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._shared import map_texts
+from codeloom.llm._shared import map_texts, selected
 
 WINDOW = 5
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -159,21 +162,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Forest | None
     if not rows:
         return None
     table = np.array(rows, float)
+    if len(np.unique(table[:, 1] >= 1)) < 2:
+        warnings.warn("the labelled documents are all of one quality: the base rule alone decides", stacklevel=2)
+        return None
     return grow(table[:, 2:], (table[:, 1] >= 1).astype(float))
 
 
+def judge(forest: Forest | None, texts: list[str | None], least: float) -> dict[str, np.ndarray]:
+    """FIELDS, base_failed, probability and kept of each text."""
+    got = [measure(t) for t in texts]
+    fields = np.array([a for a, _ in got], np.int64).reshape(-1, len(FIELDS))
+    n, repeat = fields[:, 0], fields[:, 4]
+    failed = (n < 10) | (100 * repeat > 20 * n)
+    p = np.ones(len(got)) if forest is None or not got else 1 / (1 + np.exp(-forest.score(np.array([b for _, b in got]))))
+    return {k: fields[:, i] for i, k in enumerate(FIELDS)} | {"base_failed": failed, "probability": p, "kept": ~failed & (p >= least)}
+
+
 def score(docs: DataFrame, forest: Forest | None, least: float = 0.5) -> DataFrame:
     """doc_id, FIELDS, base_failed, probability (of quality), kept (base rule passed and probability >= least)."""
 
     def make():
-        def f(doc_ids, texts):
-            got = [measure(t) for t in texts]
-            fields = np.array([a for a, _ in got], np.int64)
-            n, repeat = fields[:, 0], fields[:, 4]
-            failed = (n < 10) | (100 * repeat > 20 * n)
-            p = np.ones(len(got)) if forest is None else 1 / (1 + np.exp(-forest.score(np.array([b for _, b in got]))))
-            return {"doc_id": doc_ids, **{k: fields[:, i] for i, k in enumerate(FIELDS)}, "base_failed": failed, "probability": p, "kept": ~failed & (p >= least)}
-
-        return f
+        return lambda doc_ids, texts: {"doc_id": doc_ids} | judge(forest, texts, least)
 
     return map_texts(docs, f"doc_id long, {', '.join(f'{k} long' for k in FIELDS)}, base_failed boolean, probability double, kept boolean", make)
+
+
+def select(docs: DataFrame, forest: Forest | None, least: float = 0.5) -> DataFrame:
+    """The rows of docs that score() keeps, with all their columns."""
+    return selected(docs, lambda: lambda texts: judge(forest, texts, least)["kept"])
