@@ -17,6 +17,10 @@ def normalize_path(root: str, path: Column) -> Column:
     return F.when(F.startswith(plain, F.lit(top)), F.substr(plain, F.lit(len(top) + 1))).otherwise(plain)
 
 
+def has_extension(path: Column, extension: str) -> Column:
+    return F.endswith(path, F.lit(extension))
+
+
 def module_name(path: Column) -> Column:
     """Dotted name: last suffix and a final __init__ dropped."""
     dotted = F.replace(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit("/"), F.lit("."))

@@ -16,7 +16,7 @@ SCHEMA = T.StructType().add("symbols", T.ArrayType(_TEXT)).add("aliases", T.MapT
 
 def metadata(source: str | None) -> dict:
     """Names bound by definitions and plain assignments at any depth, imports in source order, and alias -> full name. Source that
-    does not parse, or is null, has none of them and says why."""
+    does not parse, for whatever reason, has none of them and says why; null source has none."""
     symbols, aliases, imports, error = set(), {}, [], None
     try:
         with warnings.catch_warnings():
@@ -24,6 +24,8 @@ def metadata(source: str | None) -> dict:
             tree = ast.parse(source) if source is not None else None
     except SyntaxError as e:
         tree, error = None, e.msg
+    except (RecursionError, MemoryError, ValueError) as e:  # nested beyond the parser, or null bytes
+        tree, error = None, type(e).__name__
     for node in ast.walk(tree) if tree else ():
         match node:
             case ast.FunctionDef() | ast.AsyncFunctionDef() | ast.ClassDef():
@@ -34,14 +36,14 @@ def metadata(source: str | None) -> dict:
                 symbols.add(name)
             case ast.Import(names=names):
                 for n in names:
-                    imports.append((node.lineno, node.col_offset, dict(kind="import", module=n.name, level=0, name=None, alias=n.asname)))
+                    imports.append((node.lineno, node.col_offset, dict(kind="import", module=n.name, level=0, name=None, alias=n.asname or n.name.split(".")[0])))
             case ast.ImportFrom(names=names):
                 for n in names:
-                    imports.append((node.lineno, node.col_offset, dict(kind="from", module=node.module, level=node.level, name=n.name, alias=n.asname)))
+                    imports.append((node.lineno, node.col_offset, dict(kind="from", module=node.module, level=node.level, name=n.name, alias=n.asname or n.name)))
     in_order = [x for *_, x in sorted(imports, key=lambda x: x[:2])]
     for x in in_order:  # later imports of a name win
         full = ".".join(filter(None, (x["module"], x["name"])))
-        aliases[x["alias"] or x["name"] or full.split(".")[0]] = full
+        aliases[x["alias"]] = full
     return {"symbols": sorted(symbols), "aliases": aliases, "imports": in_order, "parse_error": error}
 
 

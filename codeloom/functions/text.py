@@ -16,20 +16,47 @@ PROMPT_TOKENS, CHARS_PER_TOKEN = 8192 - 128 - 50, 2.2
 
 def tokenize(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def query_identifiers(text: Column) -> Column:
     """Distinct identifiers of two characters or more, without keywords and type names, sorted."""
-    found = F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(r"[A-Za-z_][A-Za-z0-9_]+"), F.lit(0))
     stop = F.array(*(F.lit(x) for x in sorted({*KEYWORDS, *TYPE_NAMES})))
-    return F.array_sort(F.filter(F.array_except(F.array_distinct(found), stop), lambda x: F.length(x) > 1))
+    return F.sort_array(F.array_except(found, stop))
+
+
+def enriched_text(content: Column, symbols: Column) -> Column:
+    """A file's text with its symbols, sorted, on a line of their own: what the lexical index holds of it."""
+    return F.concat(content, F.lit("\n"), F.array_join(F.sort_array(F.array_distinct(symbols)), " "))
+
+
+def query_text(prefix: Column, suffix: Column) -> Column:
+    """What a completion point asks for; absent parts count as empty."""
+    return F.concat(F.coalesce(prefix, F.lit("")), F.lit("\n"), F.coalesce(suffix, F.lit("")))
+
+
+def snippet(context: Column, size: int = 80) -> Column:
+    return F.left(context, F.lit(size))
+
+
+#: What str.splitlines ends a line at, beside the line feed; a carriage return and a line feed together end one.
+_LINE_ENDS = "\u000b\u000c\r\u001c\u001d\u001e\u0085\u2028\u2029"
+
+
+def _line_feeds(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
 def line_count(text: Column) -> Column:
     """Lines as str.splitlines counts them."""
-    body = F.regexp_replace(text, "(\r\n|[\n\u000b\u000c\r\u001c-\u001e\u0085  ])\\z", "")
-    return F.when(text == "", 0).otherwise(F.size(F.split(body, "\r\n|[\n\u000b\u000c\r\u001c-\u001e\u0085  ]", -1)))
+    plain = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), _LINE_ENDS, "\n" * len(_LINE_ENDS))
+    return readline_count(plain)
+
+
+def readline_count(text: Column) -> Column:
+    """Lines as a file object counts them: line feeds, and one more if something follows the last."""
+    return (_line_feeds(text) + ((text != "") & ~F.endswith(text, F.lit("\n"))).cast("int")).cast("int")
 
 
 def trim_lines(text: Column, n: int, last: bool) -> Column:

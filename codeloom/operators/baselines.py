@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MIN_LINES = 10
+
 
 def _draw(seed: str):
     return F.min(F.struct(F.md5(F.concat("path", F.lit(seed))), "path"))["path"].alias("path")

@@ -9,6 +9,11 @@ from pyspark.sql.window import Window
 from codeloom.functions.text import file_chunk
 
 
+def without_own(ranked: DataFrame, own: str) -> DataFrame:
+    """ranked without the completion files themselves, and without the column that names them."""
+    return ranked.where(F.col(own).isNull() | (F.col("path") != F.col(own))).drop(own)
+
+
 def included(ranked: DataFrame, max_files: int, budget: int, least: int = 512) -> DataFrame:
     """ranked: sample, rank, path, content (the completion file left out). Adds chunk, cut to what remains, and included: a file
     comes in while files and budget last; one that overflows is cut if at least `least` characters remain."""

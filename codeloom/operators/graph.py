@@ -25,18 +25,18 @@ def import_edges(imports: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def graph_scores(edges: DataFrame, starts: DataFrame, max_hops: int = 2, decay: float = 0.65, reverse: float = 0.35) -> DataFrame:
-    """start, node, score: over visited nodes u at undirected distance h < max_hops, the best of decay**h along an edge and
-    reverse * decay**h against it."""
+    """repo_key, start, node, score: over visited nodes u at undirected distance h < max_hops, the best of decay**h along an edge
+    and reverse * decay**h against it. edges: repo_key, src, dst; starts: repo_key, start. Walks stay in their repository."""
     if decay > 1:
         raise ValueError("decay above 1 has no closed form")
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hop"))
+    both = edges.select("repo_key", "src", "dst").union(edges.select("repo_key", "dst", "src")).distinct()
+    seen = starts.select("repo_key", "start", F.col("start").alias("node"), F.lit(0).alias("hop")).where(F.lit(max_hops > 0))
     front = seen
     for hop in range(1, max_hops):
-        new = front.join(both, front["node"] == both["src"]).select("start", F.col("dst").alias("node")).distinct()
-        front = new.join(seen, ["start", "node"], "left_anti").withColumn("hop", F.lit(hop))
+        new = front.join(both.withColumnRenamed("src", "node"), ["repo_key", "node"]).select("repo_key", "start", F.col("dst").alias("node")).distinct()
+        front = new.join(seen, ["repo_key", "start", "node"], "left_anti").withColumn("hop", F.lit(hop))
         seen = seen.union(front)
     weight = F.pow(F.lit(decay), F.col("hop"))
-    along = seen.join(edges, seen["node"] == edges["src"]).select("start", F.col("dst").alias("to"), weight.alias("w"))
-    against = seen.join(edges, seen["node"] == edges["dst"]).select("start", F.col("src").alias("to"), (weight * reverse).alias("w"))
-    return along.union(against).where("start <> to").groupBy("start", F.col("to").alias("node")).agg(F.round(F.max("w"), 6).alias("score"))
+    along = seen.join(edges.withColumnRenamed("src", "node"), ["repo_key", "node"]).select("repo_key", "start", F.col("dst").alias("to"), weight.alias("w"))
+    against = seen.join(edges.withColumnRenamed("dst", "node"), ["repo_key", "node"]).select("repo_key", "start", F.col("src").alias("to"), (weight * reverse).alias("w"))
+    return along.union(against).where("start <> to").groupBy("repo_key", "start", F.col("to").alias("node")).agg(F.round(F.max("w"), 6).alias("score"))

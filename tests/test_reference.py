@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths, text
-from codeloom.functions.syntax import ast_metadata
-from codeloom.operators import context, evaluation, graph, store
+from codeloom.functions.syntax import ast_metadata, metadata
+from codeloom.operators import bm25, context, evaluation, graph, store
 from codeloom.plans.reference import QUERIES, SQL
 from codeloom.sources.files import register
 
@@ -86,9 +86,21 @@ def test_graph_scores_of_all_lines(spark):
                 for v, x in [(v, w) for v in out.get(u, ())] + [(v, w * 0.35) for v in back.get(u, ())]:
                     if v != s:
                         want[s, v] = max(want.get((s, v), 0), x)
-    got = {(r["start"], r["node"]): r["score"] for r in QUERIES["graph_scores_all"](spark, SF).collect()}
+    got = {(r["start"], r["node"]): r["score"] for r in QUERIES["graph_scores"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - w) < 1e-6 for k, w in want.items())
-    assert len(got) > QUERIES["graph_scores"](spark, SF).count()
+
+
+def test_one_path_in_two_repositories(spark):
+    edges = spark.createDataFrame([("r1", "a.py", "b.py"), ("r2", "a.py", "c.py"), ("r2", "c.py", "d.py")], "repo_key string, src string, dst string")
+    starts = spark.createDataFrame([("r1", "a.py")], "repo_key string, start string")
+    assert [(r["repo_key"], r["node"]) for r in graph.graph_scores(edges, starts).collect()] == [("r1", "b.py")]
+    files = [("r1", "a.py", "one two"), ("r2", "a.py", "one one three"), ("r2", "z.py", "")]
+    held = bm25.index(spark.createDataFrame(files, "repo_key string, path string, content string"))
+    asked = spark.createDataFrame([(0, "r2", "three"), (1, "r1", "nothing")], "sample long, repo_key string, query string")
+    best = bm25.best(bm25.normalised(bm25.hits(held, asked)), held, asked, 5).orderBy("sample", "rank").collect()
+    assert [(r["sample"], r["repo_key"], r["path"]) for r in best] == [(0, "r2", "a.py"), (0, "r2", "z.py"), (1, "r1", "a.py")]
+    every = bm25.scores(held, asked).orderBy("sample", F.desc("bm25_norm"), "path").collect()
+    assert [(r["sample"], r["path"]) for r in every] == [(r["sample"], r["path"]) for r in best]
 
 
 def test_graph_rejects_growth(spark):
@@ -127,6 +139,8 @@ def test_metadata(spark):
     got = [r["m"] for r in frame.select(ast_metadata("s").alias("m")).collect()]
     assert got[0]["symbols"] == ["K", "m", "y", "z"] and got[0]["aliases"] == {"a": "a.b", "e": "c.d", "u": "u", "x": "v.w"}
     assert [i["level"] for i in got[0]["imports"]] == [0, 0, 1, 1]
+    for deep in ("+".join(["1"] * 20000), "x = " + "-" * 60000 + "1", "a\x00b"):
+        assert metadata(deep)["parse_error"] and not metadata(deep)["symbols"]
     assert [bool(r["parse_error"]) for r in got] == [False, True, True, False, False] and not any(r["symbols"] for r in got[1:])
 
 
