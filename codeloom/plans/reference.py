@@ -14,7 +14,7 @@ from codeloom.functions import paths, text
 from codeloom.functions.syntax import ast_metadata as ast_of
 from codeloom.operators import baselines, bm25, context, evaluation, graph, hybrid, store
 from codeloom.operators.chrf import chrf as chrf_of
-from codeloom.operators.tables import few, written
+from codeloom.operators.tables import few, spread, written
 from codeloom.plans import config
 
 QUERIES: dict = {}
@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("lang").alias("repo_key"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.col("text").alias("content"))
+    return spread(table(spark, sf_dir, "documents").select(F.col("lang").alias("repo_key"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.col("text").alias("content")))
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
