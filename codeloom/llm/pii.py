@@ -1,23 +1,30 @@
 """Operator 8: personal data replaced by keyed, type-consistent surrogates.
 
-Found are e-mail addresses, phone numbers, card numbers, IP addresses and personal names. Surrogates keep type and form:
+Found are e-mail addresses, phone numbers, card numbers (with a valid check digit), bank accounts (IBAN, valid), national numbers
+(three, two and four digits), IP addresses of both kinds and personal names. Surrogates keep type and form:
 
 - numbers and addresses pass through a keyed permutation of all values of the same form (a Feistel network over mixed radices), so
-  two entities never get one surrogate and one entity gets the same everywhere; signs, letter case, country code, a card's Luhn
-  validity and an IP address's range (private, loopback, public) stay;
-- given names move along a keyed cycle of the names of the same gender and script, known surnames along one of the same script;
-  other surnames get a keyed choice of the script's surnames.
+  two entities never get one surrogate and one entity gets the same everywhere; signs, letter case, country codes, the validity of
+  cards and accounts, and an IP address's range (private, loopback, public; the first group of an IPv6 address) stay;
+- listed given names move along a keyed cycle of the names of the same gender and script, listed surnames along one of the same
+  script. In other names each letter passes through such a permutation of its kind (vowels, consonants, or the letters of its
+  script), past the listed ones; endings that tell the gender stay. So names, too, keep apart in the whole corpus.
 
 In each document a surrogate that equals an entity of the text, or one already given to another entity, is replaced by the next in
 the keyed order. The same number written differently, or a name with and without given name, stays one entity: once a title or a
 listed given name shows a name, its parts are replaced wherever the document has them, also before 's and in capitals.
 
-Null text stays null; empty text stays empty; repeated rows get equal answers; extra columns, whatever their names, pass through.
+Names need a capital letter, and a title or a listed given name once in the document. Where the permutation leaves a name as it is
+(most likely one of a single letter), one of the listed names takes its place.
+
+Null text stays null; empty text stays empty; repeated rows get equal answers; of overlapping finds the earlier kind wins, in the
+order above; texts of any length are handled whole; an empty table gives no rows; extra columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 
 import pyarrow as pa
@@ -28,7 +35,7 @@ from pyspark.sql import types as T
 from codeloom.llm._shared import map_slices
 
 KEY = b"codeloom surrogate key 1"
-KINDS = ("email", "phone", "card", "ip", "name")
+KINDS = ("email", "phone", "card", "iban", "national", "ip", "name")
 
 # Names by script and gender, titles by gender.
 GIVEN = {
@@ -43,11 +50,22 @@ SURNAMES = {
 }
 TITLES = {"f": "Mrs Ms Miss Frau Madame Mme Mademoiselle Señora Sra Doña".split(), "m": "Mr Herr Monsieur Señor Sr Don".split(), "": ["Dr", "Prof"]}
 
+# Telephone country codes of one and of two digits (the others have three), letters by kind, endings that tell a gender.
+COUNTRY_1 = "1 7".split()
+COUNTRY_2 = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+LETTERS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåèéêëìíîïòóôõöùúûü", "çñšžčćřłśźżďťňğş", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
+ENDINGS = tuple("ова ева ёва ина ская ов ев ёв ин ский".split())
+
+_PLACE = {c: (kind, i) for kind, letters in enumerate(LETTERS) for i, c in enumerate(letters)}
+
 _WORD = r"[^\W\d_]+(?:[-'][^\W\d_]+)*"
 _SCRIPTS = (("latin", "A", "Z"), ("cyrillic", "Ѐ", "ӿ"))
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NUMBER = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d(?:[ .-]?\d)+(?![\w])")
 _IP = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)")
+_IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|::)(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{1,4}(?![\w:]|\.\d)")
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?!\w)")
+_NATIONAL = re.compile(r"(?<![\w.-])(?!000|666|9)\d{3}([ -])(?!00)\d{2}\1(?!0000)\d{4}(?![\w-])")
 _TITLE_OF = {t: g for g, ts in TITLES.items() for t in ts}
 _GIVEN_OF = {n: k for k, ns in GIVEN.items() for n in ns}
 _SURNAME_OF = {n: s for s, ns in SURNAMES.items() for n in ns}
@@ -130,24 +148,78 @@ def ip_surrogate(entity: str, key: bytes) -> str:
             return ".".join(map(str, at))
 
 
+def ipv6_surrogate(entity: str, key: bytes) -> str:
+    first, *rest = ipaddress.IPv6Address(entity).exploded.split(":")
+    return str(ipaddress.IPv6Address(":".join([first, *(f"{g:x}" for g in permute([int(x, 16) for x in rest], [1 << 16] * 7, key, "ipv6"))])))
+
+
+def iban_check(country: str, account: str) -> str:
+    """The two check digits of an IBAN."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in account + country + '00')) % 97:02d}"
+
+
+def iban_surrogate(entity: str, key: bytes) -> str:
+    country, account = entity[:2], entity[4:]
+    account = _letters(account.lower(), key, f"iban {country}").upper()
+    return country + iban_check(country, account) + account
+
+
+def national_surrogate(entity: str, key: bytes) -> str:
+    while True:  # the cycle stays among the valid ones
+        entity = _digits(entity, key, "national")
+        if _NATIONAL.fullmatch(f"{entity[:3]}-{entity[3:5]}-{entity[5:]}"):
+            return entity
+
+
+def _kept(name: str) -> int:
+    """How many letters at the end stay: an ending that tells the gender, or else the last letter."""
+    return max((len(e) for e in ENDINGS if name.lower().endswith(e) and len(name) > len(e) + 1), default=int(len(name) > 2))
+
+
+def _spelt(name: str, kept: int, key: bytes, tweak: str) -> str:
+    """A name with its letters permuted within their kinds; case, marks, letters of no known kind and the last `kept` ones stay."""
+    low = name.lower() if len(name.lower()) == len(name) else name
+    kinds = [_PLACE.get(c) if i < len(low) - kept else None for i, c in enumerate(low)]
+    form = " ".join(f"{k[0] if k else c}{'A' * (c != n)}" for c, n, k in zip(low, name, kinds, strict=True))
+    found = [k for k in kinds if k]
+    new = iter(permute([at for _, at in found], [len(LETTERS[kind]) for kind, _ in found], key, f"{tweak} {form}") if found else [])
+    out = [LETTERS[k[0]][next(new)] if k else c for c, k in zip(low, kinds, strict=True)]
+    return "".join(c.upper() if a != n else c for c, a, n in zip(out, low, name, strict=True))
+
+
+def _new_name(name: str, key: bytes, tweak: str, listed: dict, pool: list[str], step: int) -> str:
+    """The surrogate of a name that is not listed: never a listed one, and another for each name. One that the permutation leaves
+    as it is, such as one without letters of a known kind, takes one of the pool."""
+    k, kept, new = key if not step else key + str(step).encode(), _kept(name), name
+    while True:  # the cycle leads back to the name itself at last, which is not listed
+        new = _spelt(new, kept, k, tweak)
+        if new not in listed and _kept(new) == kept:
+            break
+    return new if new != name else pool[_keyed(k, tweak, "pool", name) % len(pool)]
+
+
 def script_of(word: str) -> str:
     return "cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "latin"
 
 
 def _cycle(pool: list[str], name: str, key: bytes, tweak: str, step: int) -> str:
     order = sorted(pool, key=lambda x: _keyed(key, tweak, x))
-    at = order.index(name) if name in pool else _keyed(key, tweak, "new", name.casefold()) % len(order) - 1
-    return order[(at + 1 + step) % len(order)]
+    return order[(order.index(name) + 1 + step) % len(order)]
 
 
 def given_surrogate(entity: str, key: bytes, step: int = 0, gender: str = "") -> str:
-    script, known = _GIVEN_OF.get(entity, (script_of(entity), gender or "mf"[_keyed(key, "gender", entity) % 2]))
-    return _cycle(GIVEN[script, known], entity, key, f"given {script} {known}", step)
+    if entity in _GIVEN_OF:
+        script, known = _GIVEN_OF[entity]
+        return _cycle(GIVEN[script, known], entity, key, f"given {script} {known}", step)
+    known = gender or "mf"[_keyed(key, "gender", entity) % 2]
+    return _new_name(entity, key, "given", _GIVEN_OF, GIVEN[script_of(entity), known], step)
 
 
 def surname_surrogate(entity: str, key: bytes, step: int = 0) -> str:
     script = script_of(entity)
-    return _cycle(SURNAMES[script], entity, key, f"surname {script}", step)
+    if entity in _SURNAME_OF:
+        return _cycle(SURNAMES[script], entity, key, f"surname {script}", step)
+    return _new_name(entity, key, "surname", _SURNAME_OF, SURNAMES[script], step)
 
 
 def _same_case(model: str, text: str) -> str:
@@ -169,6 +241,14 @@ def detect(text: str) -> list[tuple[int, int, str, str, str]]:
         found += [(m.start(), m.end(), "email", m[0].lower(), "") for m in _EMAIL.finditer(text)]
     taken = [(a, b) for a, b, *_ in found]
     if any(c in text for c in "0123456789"):
+        for m in _IBAN.finditer(text):
+            entity = m[0].replace(" ", "")
+            if not any(x < m.end() and m.start() < y for x, y in taken) and 15 <= len(entity) <= 34 and entity[2:4] == iban_check(entity[:2], entity[4:]):
+                found.append((m.start(), m.end(), "iban", entity, ""))
+        if text.count(":") > 2:
+            for m in _IPV6.finditer(text):
+                if _ipv6(m[0]):
+                    found.append((m.start(), m.end(), "ip", ipaddress.IPv6Address(m[0]).compressed, "6"))
         for m in _IP.finditer(text):
             if all(int(x) < 256 and x == str(int(x)) for x in m[0].split(".")):
                 found.append((m.start(), m.end(), "ip", m[0], ""))
@@ -180,10 +260,18 @@ def detect(text: str) -> list[tuple[int, int, str, str, str]]:
                 if any(x < b and a < y for x, y in taken):
                     continue
                 if s[0] != "+" and "(" not in s and 13 <= len(digits) <= 19:
-                    found.append((a, b, "card", digits, ""))
-                elif 10 <= len(digits) <= 15 and (s[0] in "+(" or re.fullmatch(r"\d{3}[ .-]\d{3}[ .-]\d{4}", s)):
+                    if luhn(digits[:-1]) == int(digits[-1]):
+                        found.append((a, b, "card", digits, ""))
+                elif s[0] == "+" and 10 <= len(digits) <= 15:
+                    cut = country_length(digits)
+                    found.append((a, b, "phone", digits[cut:], digits[:cut]))
+                elif 10 <= len(digits) <= 15 and (s[0] == "(" or re.fullmatch(r"\d{3}[ .-]\d{3}[ .-]\d{4}", s)):
                     found.append((a, b, "phone", digits[-10:], digits[:-10]))
         taken = [(a, b) for a, b, *_ in found]
+        for m in _NATIONAL.finditer(text):
+            if not any(x < m.end() and m.start() < y for x, y in taken):
+                found.append((m.start(), m.end(), "national", m[0].replace(m[1], ""), ""))
+        taken = [(a, b) for a, b, *_ in found]
     if not _HINTS.isdisjoint(_RUN.findall(text)):  # a title or given name that _NAME_START matches is a whole run of letters
         for m in _NAME_START.finditer(text):
             n = _NAME.match(text, m.start())
@@ -209,6 +297,20 @@ def detect(text: str) -> list[tuple[int, int, str, str, str]]:
     return sorted(found)
 
 
+def country_length(digits: str) -> int:
+    return 1 if digits[0] in COUNTRY_1 else 2 if digits[:2] in COUNTRY_2 else 3
+
+
+def _ipv6(text: str) -> bool:
+    """Whether text is an address, with a digit and at least three groups, and not the word "std::" or a time of day."""
+    if len([g for g in text.split(":") if g]) < 3 or text.isalpha() or not any(c.isdigit() for c in text):
+        return False
+    try:
+        return bool(ipaddress.IPv6Address(text))
+    except ValueError:
+        return False
+
+
 def _bare(word: str) -> str:
     """A name without a possessive 's, and without what is joined to it in small letters ("Anna-like")."""
     word = re.sub(r"'[sS]?$", "", word)
@@ -252,7 +354,7 @@ def _mentions(text: str, found: list[tuple[int, int, str, str, str]]) -> list[tu
 
 def _numbers(s: str, at: int) -> list[tuple[int, int]]:
     """A run of digits and single marks as the numbers in it: groups that are cards or phones for themselves are cut apart."""
-    cut = [*re.finditer(r"\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d){9,12}(?!\d)|(?<!\d)\d{13,19}(?!\d)|(?<!\d)\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?!\d)|(?<!\d)\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)", s)]
+    cut = [*re.finditer(r"\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d){9,12}(?!\d)|(?<!\d)\d{13,19}(?!\d)|(?<!\d)\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?!\d)|(?<!\d)\d{4}([ -])\d{6}\2\d{5}(?!\d)|(?<!\d)\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)", s)]
     return [(at + m.start(), at + m.end()) for m in cut]
 
 
@@ -266,7 +368,11 @@ def surrogate(kind: str, entity: str, detail: str, key: bytes, step: int) -> str
     if kind == "card":
         return card_surrogate(entity, k)
     if kind == "ip":
-        return ip_surrogate(entity, k)
+        return ipv6_surrogate(entity, k) if detail else ip_surrogate(entity, k)
+    if kind == "iban":
+        return iban_surrogate(entity, k)
+    if kind == "national":
+        return national_surrogate(entity, k)
     role, name = entity.split(" ", 1)
     proper = name.capitalize() if name.isupper() and len(name) > 1 else name
     return given_surrogate(proper, key, step, detail) if role == "given" else surname_surrogate(proper, key, step)
@@ -298,6 +404,9 @@ def replace(text: str, key: bytes = KEY) -> tuple[str, list[dict]]:
         if kind in ("phone", "card"):
             digits = sum(c.isdigit() for c in s)
             new = _fill(s, (detail if kind == "phone" else "") + new) if digits == len(new) + len(detail if kind == "phone" else "") else _fill(s, new)
+        elif kind in ("iban", "national"):
+            left = iter(new)
+            new = "".join(next(left) if c.isalnum() else c for c in s)
         elif kind in ("email", "name"):
             new = _same_case(s, new) if kind == "email" or (len(s) > 1 and s.isupper()) else new
         out += [text[at:a], new]

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import ipaddress
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -150,6 +152,35 @@ def test_media(odd, none):
     assert media.media(none).count() == 0
 
 
+def _trak(number, codec, sizes, places, per, keys, compact):
+    b, f, p = media.box, media.full, struct.pack
+    size = f(b"stz2", p(">BBBBI", 0, 0, 0, compact, len(sizes)), np.array(sizes, ">u2").tobytes() if compact == 16 else bytes(x << 4 | y for x, y in zip(sizes[::2], [*sizes[1::2], 0], strict=False))) if compact else f(b"stsz", p(">II", 0, len(sizes)), np.array(sizes, ">u4").tobytes())
+    stss = f(b"stss", p(">I", len(keys)), np.array(keys, ">u4").tobytes()) if keys else b""
+    stsc = f(b"stsc", p(">I", 1 if per else 0), p(">III", 1, per, 1) if per else b"")
+    stbl = b(b"stbl", f(b"stsd", p(">I", 1), b(codec, bytes(8))), f(b"stts", p(">I", 1), p(">II", len(sizes), 5)), stss, stsc, size, f(b"stco", p(">I", len(places)), np.array(places, ">u4").tobytes()))
+    return b(b"trak", f(b"tkhd", p(">III", 0, 0, number), bytes(68)), b(b"mdia", f(b"mdhd", p(">IIIII", 0, 0, 1000, 7 * number, 0)), b(b"minf", stbl)))
+
+
+def test_several_tracks_and_fragments(spark, none):
+    b, f, p = media.box, media.full, struct.pack
+    for compact in (0, 4, 16):
+        moov = b(b"moov", _trak(1, b"avc1", [3, 5, 2], [1000, 2000], 2, [1, 3], compact), _trak(2, b"mp4a", [4], [3000], 1, [], 0), b(b"mvex", f(b"trex", p(">5I", 2, 1, 10, 6, 0x10000))))
+        # run 1: sizes of its own, first one a keyframe; run 2: the usual size, follows run 1
+        traf = b(b"traf", f(b"tfhd", p(">I", 2), flags=0x20000), f(b"trun", p(">Ii", 2, 100), p(">I", 0), p(">II", 8, 9), flags=0x1 | 0x4 | 0x200), f(b"trun", p(">I", 1)))
+        held = moov + b(b"moof", traf)
+        first, second = media.parse(held)
+        assert (first.codec, first.timescale, first.duration, first.units) == ("avc1", 1000, 7, 15)
+        assert (first.starts.tolist(), first.sizes.tolist(), first.keys.tolist()) == ([1000, 1003, 2000], [3, 5, 2], [0, 2])
+        at = len(moov) + 100
+        assert (second.starts.tolist(), second.sizes.tolist(), second.keys.tolist(), second.units) == ([3000, at, at + 8, at + 17], [4, 8, 9, 6], [0, 1], 35)
+    rows = spark.createDataFrame([(1, held), (2, b""), (3, None), (4, held[:40]), (5, media.store(b"x" * 576 * 40))], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in media.tracks(rows).collect()}
+    assert [t["codec"] for t in got[1]["tracks"]] == ["avc1", "mp4a"] and got[1]["tracks"][1]["keyframes"][1] == (at, at + 8)
+    assert got[2]["tracks"] == [] == got[3]["tracks"] and got[4]["tracks"] is None and "leaves its parent" in got[4]["error"]
+    assert [(t["samples"], len(t["keyframes"])) for t in got[5]["tracks"]] == [(40, 3)]
+    assert media.tracks(rows.limit(0)).count() == 0
+
+
 def components(rows):
     sets, parent = {}, {}
     for i, t in rows.items():
@@ -226,6 +257,35 @@ def test_later_mentions_of_a_name():
     assert "Beckers, Becker1" in pii.replace("Anna Becker and Beckers, Becker1")[0]
 
 
+def test_numbers_and_accounts_stay_valid():
+    iban = "DE" + pii.iban_check("DE", "370400440532013000") + "370400440532013000"
+    assert iban == "DE89370400440532013000"
+    grouped = " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))
+    new, spans = pii.replace(f"pay {iban} or {grouped} now")
+    got = new.split(" or ")[0][4:]
+    assert [s["kind"] for s in spans] == ["iban"] * 2 and new.split(" or ")[1].removesuffix(" now").replace(" ", "") == got != iban
+    assert got[:2] == "DE" and pii.iban_check("DE", got[4:]) == got[2:4]
+    assert pii.replace("pay DE88370400440532013000 now, order 1234567890123")[1] == []  # wrong check digits
+    amex = pii.replace("card 3782 822463 10005 end")[0].removeprefix("card ").removesuffix(" end")
+    assert [len(x) for x in amex.split(" ")] == [4, 6, 5] and pii.luhn(amex.replace(" ", "")[:-1]) == int(amex[-1])
+    assert pii.replace("+49 30 901820")[0].startswith("+49 ") and pii.replace("+420 601 123 456")[0].startswith("+420 ")
+    new, spans = pii.replace("123-45-6789 or 123 45 6789, not 000-12-3456 or 1-123-45-6789")
+    assert [s["kind"] for s in spans] == ["national"] * 2 and new[:11].replace("-", " ") == new[15:26] != "123 45 6789"
+    new, spans = pii.replace("2001:db8::ff00:42:8329 and 2001:0db8:0:0:0:ff00:0042:8329, std::vector 12:34:56 a::b")
+    a, rest = new.split(" and ")
+    assert [s["kind"] for s in spans] == ["ip"] * 2 and rest.startswith(a + ",") and a.startswith("2001:") and ipaddress.IPv6Address(a)
+
+
+def test_names_that_are_not_listed_keep_apart():
+    names = {x + y + z for x in ("Ba", "Ra", "Ko", "Ty", "Ше", "Му") for y in ("man", "ström", "ler", "ёв", "вин", "нова") for z in ("", "a", "ев", "ова", "-Ray")}
+    for make, listed in ((pii.surname_surrogate, pii._SURNAME_OF), (pii.given_surrogate, pii._GIVEN_OF)):
+        new = {n: make(n, pii.KEY) for n in names}
+        assert len(set(new.values())) == len(names) and not any(k == v or v in listed for k, v in new.items())
+        assert all([c.isupper() for c in k] == [c.isupper() for c in v] and k[-1] == v[-1] and pii.script_of(k) == pii.script_of(v) for k, v in new.items())
+    new = pii.replace("Mrs. Priya Raman met Mr. Wei Chen. RAMAN and Chen's dog")[0]
+    assert not re.search("(?i)raman|chen|priya", new) and new.split(". ")[-1].split(" ")[0] == new.split(" met ")[0].split(" ")[-1].upper()
+
+
 def test_secrets(odd, none):
     enc = secrets.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     key = "q7Xz9Kp2LmV4tR8wYb3N"
