@@ -47,7 +47,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table over all cores where it has no more than half as many partitions, as a small one in one row group does. Larger
+    ones stay as they are, so nothing of them is shuffled."""
+    docs, wanted = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
+    return docs.repartition(wanted) if 2 * docs.rdd.getNumPartitions() <= wanted else docs
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
