@@ -35,7 +35,7 @@ from codeloom.llm._shared import Cache, map_texts, written
 
 WORDS, K, LEAST, FLOOR, STARS = 5, 40, 0.425, 0.425, 6
 THRESHOLD = (3, 4)  # Jaccard of 3/4
-BLOCK, PAST, SLICE = 1024, 256, 8192
+BLOCK, PAST, SLICE, PART = 1024, 256, 8192, 1024
 BITS = 1 << 26  # of the filter for documents read again: at most BITS / 64 rows are broadcast
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -128,8 +128,8 @@ def _perhaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def sets_of(ids: DataFrame, docs: DataFrame, kind: type) -> DataFrame:
-    """doc, set: the sorted hashes of the documents in ids, or (uint32) their upper halves, which sort alike. The texts are read
-    again."""
+    """doc, set: the sorted distinct hashes of the documents in ids, or (uint32) their upper halves, which sort alike. The texts are
+    read again."""
     texts = _perhaps(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), ids)
 
     def make():
@@ -137,7 +137,7 @@ def sets_of(ids: DataFrame, docs: DataFrame, kind: type) -> DataFrame:
 
         def f(doc_ids, texts):
             sets = [shingles(t, hashed) for t in texts]
-            return {"doc": doc_ids, "set": [(s if kind is np.uint64 else (s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]}
+            return {"doc": doc_ids, "set": [(s if kind is np.uint64 else np.unique((s >> np.uint64(32)).astype(np.uint32))).tobytes() for s in sets]}
 
         return f
 
@@ -187,9 +187,9 @@ def _links_in_lists(k: int):
     """For rows (value, i, c, role, doc, n, comp, listed, set) sorted by (value, i, c, role): holds the rows of role 0, at most
     about BLOCK, against each other (in slice 0) and against the rows of role 1, which stream past.
 
-    A pair is compared only in the list of its smallest common value. Sketches are compared by one matrix product, sets (upper
-    halves of the hashes, with room for two that collide) only where the estimate leaves a link possible, and of the links
-    between the rows only those that join components come out.
+    Sketches are compared by one matrix product, sets (upper halves of the hashes, with room for two that collide) only where the
+    estimate leaves a link possible, and only in one of the lists that a pair shares. That list hangs on the pair, so lists that
+    hold about the same documents share their pairs evenly. Of the links between the rows only those that join components come out.
     """
 
     def shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -212,6 +212,25 @@ def _links_in_lists(k: int):
         last = np.array([s[-1] if len(s) == k else np.iinfo(np.uint32).max for s in other])
         return np.stack([np.searchsorted(s, last, side="right") for s in sketch])
 
+    def listed(rows: list[tuple]) -> np.ndarray:
+        """The values in whose lists each row is, the present one repeated to equal length."""
+        out = np.full((len(rows), max(len(r[7]) for r in rows)), rows[0][0], np.int64)
+        for i, r in enumerate(rows):
+            out[i, : len(r[7])] = r[7]
+        return out
+
+    def here(x: np.ndarray, y: np.ndarray, pair: np.ndarray, value: int) -> np.ndarray:
+        """Whether value is the one of the common values of x and y, row by row, that the numbers in pair choose."""
+        keep = np.zeros(len(pair), bool)
+        for at in range(0, len(pair), 4096):
+            u, v = x[at : at + 4096], y[at : at + 4096]
+            common = (u[:, :, None] == v[:, None, :]).any(axis=2)
+            order = (u.view(np.uint64) ^ pair[at : at + 4096, None]) * _ODD[1]
+            order = (order ^ (order >> np.uint64(29))) * _ODD[2]
+            order[~common] = np.iinfo(np.uint64).max
+            keep[at : at + 4096] = u[np.arange(len(u)), order.argmin(axis=1)] == value
+        return keep
+
     def compare(one: list[tuple], two: list[tuple], parent: Cache, out: tuple[list, list]) -> None:
         if not one or not two:
             return
@@ -224,19 +243,21 @@ def _links_in_lists(k: int):
         ok &= np.minimum(n[:, None], n2) * THRESHOLD[1] >= np.maximum(n[:, None], n2) * THRESHOLD[0]
         if one is two:
             ok &= doc[:, None] < doc2
-        if ok.any():
-            before = [[np.array([v for v in r[7] if v < value], np.int64) for r in rows] for rows in (one, two)]
-            ok &= shared(*before) == 0
+        at, at2 = np.nonzero(ok)
+        if len(at):
+            pair = (doc.view(np.uint64)[at] + doc2.view(np.uint64)[at2]) * _ODD[0]
+            mine = here(listed(one)[at], listed(two)[at2], pair, value)
+            at, at2 = at[mine], at2[mine]
 
         def root(c: int) -> int:
             while parent[c] != c:
                 parent[c] = c = parent[parent[c]]
             return c
 
-        for a, b in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
+        for a, b in zip(at.tolist(), at2.tolist(), strict=True):
             p, q = root(int(comp[a])), root(int(comp2[b]))
             if p != q:
-                same = len(np.intersect1d(sets[a], sets2[b], assume_unique=False))
+                same = len(np.intersect1d(sets[a], sets2[b], assume_unique=True))
                 size = int(n[a]) + int(n2[b])
                 if THRESHOLD[1] * (same + 2) >= THRESHOLD[0] * (size - same - 2):
                     out[0].append(int(min(doc[a], doc2[b])))
@@ -279,11 +300,14 @@ def _blocks(lists: DataFrame, found: DataFrame) -> DataFrame:
     """value, i, c, role, doc, n, comp of the lists whose members are in several components.
 
     The largest component of a list needs no comparison inside itself. The others are dealt to blocks of about BLOCK. A block is
-    held against the members of later blocks and of the largest component; slices of about SLICE of those go to different tasks.
+    held against the members of later blocks and of the largest component; slices of about SLICE of those go to different tasks,
+    of about PART where there is one block only, whose copies then are no more than the list's rows.
     """
     named = lists.join(found, lists["doc"] == found["doc"], "left").select("value", lists["doc"], "n", F.coalesce("component", lists["doc"]).alias("comp"))
     sizes = named.groupBy("value", "comp").agg(F.count("*").alias("x")).groupBy("value").agg(F.sum("x").alias("m"), F.max(F.struct("x", "comp")).alias("top"), F.count("*").alias("comps"))
-    sizes = sizes.where("m > 2 and comps > 1").select("value", F.col("top.comp").alias("top"), F.ceil((F.col("m") - F.col("top.x")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("m") / SLICE).cast("int").alias("slices"))
+    others = F.col("m") - F.col("top.x")
+    slices = F.ceil(F.col("m") / F.when(others <= BLOCK, PART).otherwise(SLICE)).cast("int")
+    sizes = sizes.where("m > 2 and comps > 1").select("value", F.col("top.comp").alias("top"), F.ceil(others / BLOCK).cast("int").alias("blocks"), slices.alias("slices"))
     left = named.join(sizes, "value")
     own = F.when(F.col("comp") != F.col("top"), F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).otherwise(F.col("blocks"))
     left = written(left.withColumn("own", own).withColumn("slice", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("slices")).cast("int")).drop("top"), "left")

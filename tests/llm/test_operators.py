@@ -217,6 +217,34 @@ def test_near_duplicates(spark, odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_pairs_at_the_threshold(spark):
+    rows = {}
+    for i in range(3000):  # unions of 80 shingles: 60 shared are linked, 59 of 81 are not
+        shared = 64 - i % 2
+        common = [f"c{i}x{j}" for j in range(shared)]
+        rows[2 * i], rows[2 * i + 1] = (" ".join([*common, *(f"{side}{i}x{j}" for j in range(74 - shared))]) for side in "ab")
+    got = neardup.near_duplicates(spark.createDataFrame([*rows.items()], "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got if not r["kept"]} == {2 * i + 1 for i in range(0, 3000, 2)}
+    assert all(r["component_id"] == r["doc_id"] - (not r["kept"]) and r["n_shingles"] == 70 for r in got)
+
+
+def test_links_among_many_that_share_a_passage(spark, monkeypatch):
+    for name, size in (("BLOCK", 32), ("PART", 20), ("SLICE", 50)):  # several blocks and slices
+        monkeypatch.setattr(neardup, name, size)
+    rng, rows = random.Random(3), {}
+    passage = [f"p{j}" for j in range(60)]
+    for i in range(300):  # two share about 56 of 80 to 100 shingles
+        rows[i] = " ".join([*passage, *(f"u{i}x{j}" for j in range(rng.randint(14, 22)))])
+    for i in range(0, 300, 7):  # links that are found only among the others
+        w = rows[i].split()
+        rows[1000 + 2 * i] = " ".join([*w[:-1], f"v{i}", f"y{i}"])
+        rows[1001 - i * 3] = " ".join([f"z{i}", *w])
+    got = neardup.near_duplicates(spark.createDataFrame([*rows.items()], "doc_id long, text string").repartition(5)).collect()
+    want = components(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == want
+    assert 0 < sum(not kept for _, _, kept in want.values()) < 200
+
+
 def test_surrogates(spark, odd, none):
     text = "Mrs. Anna Smith (anna.smith@mail.example.com) and Mr Jones; Anna at 10.0.0.1, (314) 555-6532 or +1 314 555 6532, 4111 1111 1111 1111."
     new, spans = pii.replace(text)
