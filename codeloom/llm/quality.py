@@ -12,7 +12,8 @@ The model is fitted on a bounded sample (`sample` labelled documents chosen by a
 Ties: a tail equal to the threshold is kept; labels of equal hash are taken in the order of doc_id. A text of any length is read
 whole, word by word. No documents give no rows, and no model where none is labelled. Null text counts as empty. Empty or blank text has no features and gets the lowest grade: expected grade 0, tail 0, not kept.
 Labels with null quality are skipped, null toxic counts as 0, several labels of one document count as its lowest grade. Without
-labels every document with a word is kept (expected grade 2, tail 1). Repeated rows get equal answers; extra columns are not read.
+labels every document with a word is kept (expected grade 2, tail 1). Of rows that share a doc_id one is learnt from, the one with
+the smallest features, so the driver gets no more rows than labels. Repeated rows get equal answers; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -158,8 +159,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Ordinal | N
 
         return f
 
-    rows = map_texts(known, "doc_id long, grade int, slots binary, values binary", make, "grade").collect()
-    rows = sorted(((r["doc_id"], r["grade"], r["slots"], r["values"]) for r in rows if r["slots"]), key=lambda r: r[:3])
+    each = map_texts(known, "doc_id long, grade int, slots binary, values binary", make, "grade").where("length(slots) > 0")
+    rows = each.groupBy("doc_id").agg(F.min(F.struct("grade", "slots", "values")).alias("x")).select("doc_id", "x.*").collect()
+    rows = sorted(((r["doc_id"], r["grade"], r["slots"], r["values"]) for r in rows), key=lambda r: r[:3])
     ready = [(g, np.frombuffer(i, np.int32), np.frombuffer(x, np.float32).astype(float)) for _, g, i, x in rows]
     return train(ready) if ready else None
 

@@ -11,7 +11,8 @@ twice, fails. The trees are fitted on a bounded sample (`sample` labelled docume
 Ties: a probability equal to the threshold is kept; labels of equal hash are taken in the order of doc_id; a value equal to a cut
 goes left. A text of any length is measured whole. No documents give no rows. Null text has no words and fails the base rule, as do empty and blank texts. Labels with null quality are skipped; without labels
 or with labels of one
-quality alone (which gives a warning) the base rule alone decides. Repeated rows get equal answers; extra columns are not read.
+quality alone (which gives a warning) the base rule alone decides. Of rows that share a doc_id one is learnt from, the one with the
+smallest statistics, so the driver gets no more rows than labels. Repeated rows get equal answers; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -158,7 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Forest | None
     def make():
         return lambda ids, texts, quality: {"doc_id": ids, "quality": quality, "x": [measure(t)[1] for t in texts]}
 
-    rows = sorted((r["doc_id"], r["quality"], *r["x"]) for r in map_texts(known, "doc_id long, quality int, x array<double>", make, "quality").collect())
+    each = map_texts(known, "doc_id long, quality int, x array<double>", make, "quality").groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("m"))
+    rows = sorted((r["doc_id"], r["quality"], *r["x"]) for r in each.select("doc_id", "m.*").collect())
     if not rows:
         return None
     table = np.array(rows, float)

@@ -102,3 +102,13 @@ def test_two_columns_of_one_name_are_refused(docs):
     with pytest.raises(ValueError, match="pii_spans"):
         pii.surrogates(docs)
     assert pii.surrogates(docs, spans="found").columns == [*docs.columns, "found"]
+
+
+def test_rows_of_one_doc_id_are_learnt_from_once(spark):
+    """Else the driver gets every copy of a labelled document, however many there are."""
+    docs, lab = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    copies = docs.union(docs).union(docs)
+    one, same = quality.fit(docs, lab), quality.fit(copies, lab)
+    assert np.array_equal(one.weights, same.weights) and np.array_equal(one.thresholds, same.thresholds) and np.array_equal(one.strong, same.strong)
+    forest, other = rules.fit(docs, lab), rules.fit(copies, lab)
+    assert forest.start == other.start and all(np.array_equal(getattr(forest, k), getattr(other, k)) for k in ("feature", "cut", "left", "right", "value", "roots"))
